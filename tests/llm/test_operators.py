@@ -1,0 +1,414 @@
+"""The operators against brute force, the libraries and the rows' own arithmetic."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from xmlframe.llm import language_kernel, line_dedup, media_sniff, metric_join, ngram_jaccard, quality_rules, source_mixing, token_counts, toxicity_chain
+from xmlframe.llm.components import components
+from xmlframe.llm.sentencepiece_bpe import PrefixTable, decode_ids, encode_digests, encode_ids
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+def groups(nodes, links):
+    top = {n: n for n in nodes}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(70)] + [(5, 5)]
+    want = groups({x for e in links for x in e}, links)
+    got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))
+    assert got == {n: c for n, c in want.items() if n in got} and all(n in got for e in links for n in e if e[0] != e[1])
+    assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+# 1. Quality -------------------------------------------------------------------------------------
+
+
+def test_quality(spark, docs, none, sf_dir):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality_rules.fit(real, labels)
+    assert model.rules and all(r.weight for r in model.rules)
+    got = model.score(real.join(labels, "doc_id").select("doc_id", "text", "quality")).withColumn("p", (F.col("score") >= 0.3).cast("int"))
+    held = rows(got.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).select("quality", "p"))
+    assert len(held) > 40 and sum(a == b for a, b in held) >= 0.95 * len(held)
+    few = quality_rules.quality_scores(docs, spark.createDataFrame([(900002, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert {r[2] for r in rows(few)} == {0.5} and few.count() == docs.count()
+    odd = {r["doc_id"]: r["score"] for r in model.score(docs.select("doc_id", "text")).collect()}
+    assert odd[900001] == odd[900002] and all(0 <= s <= 1 for s in odd.values())
+    assert rows(quality_rules.quality_scores(none, labels)) == []
+
+
+# 2. Mixing --------------------------------------------------------------------------------------
+
+
+def test_apportion_is_sainte_lague():
+    rng = random.Random(5)
+    for _ in range(200):
+        votes = [rng.randrange(1, 500) for _ in range(rng.randrange(1, 9))]
+        caps = [rng.randrange(0, 60) for _ in votes]
+        seats = rng.randrange(0, 80)
+        got = [0] * len(votes)
+        for _ in range(min(seats, sum(caps))):
+            k = max((k for k in range(len(votes)) if got[k] < caps[k]), key=lambda k: (votes[k] / (2 * got[k] + 1), -k))
+            got[k] += 1
+        assert source_mixing.apportion(votes, seats, caps) == got
+
+
+def test_mixing(spark, docs, none):
+    got = source_mixing.mixed_taken(docs).collect()
+    again = source_mixing.mixed_taken(docs.repartition(7)).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(again, key=key) and len(got) == docs.count()
+    texts = rows(docs.select("doc_id", "text", "source"))
+    size, taken, target = Counter(), Counter(), {}
+    by_id = defaultdict(list)
+    for i, t, s in texts:
+        by_id[i].append((len(WORD.findall(t or "")), s))
+        size[s] += len(WORD.findall(t or ""))
+    for r in got:
+        n, s = by_id[r["doc_id"]][0]
+        assert r["size"] == n and r["source_size"] == size[s] and 0 <= r["taken"] <= 2 * n
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    want, left, open_ = {}, 1.5 * sum(size.values()), list(order)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    while open_ and (over := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * size[s]]):
+        want |= {s: 2.0 * size[s] for s in over}
+        left -= sum(2 * size[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    want |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    for s in order:
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= max(32, 0.01 * target[s])
+    assert rows(source_mixing.mixed_taken(none)) == []
+
+
+def test_mix_texts_take_what_is_counted(spark, docs, none):
+    out = source_mixing.mix_texts(docs)
+    assert out.columns == docs.columns
+    words = sum(len(WORD.findall(r[0] or "")) for r in out.select("text").collect())
+    assert words == source_mixing.mixed_taken(docs).agg(F.sum("taken")).first()[0]
+    assert rows(source_mixing.mix_texts(none)) == []
+
+
+def test_shard_tree_keeps_the_seats(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "FAN", 4)
+    shards = spark.createDataFrame([(0, n, 10 + n, 2 + n // 5) for n in range(50)] + [(1, n, 7, 9) for n in range(3)], "k int, node long, words long, blocks long")
+    top = spark.createDataFrame([(0, 100), (1, 11)], "k int, parent_seats long")
+    got = rows(source_mixing.shard_quotas(shards, top, 3).groupBy("k").agg(F.sum("seats")))
+    assert sorted(got) == [(0, 100), (1, 11)]
+
+
+# 3. SentencePiece -------------------------------------------------------------------------------
+
+
+def test_sentencepiece_as_the_library(spark, docs, none, library):
+    got = {r[0]: r[1:] for r in rows(encode_digests(docs, MODEL))}
+    for i, t in rows(docs.select("doc_id", "text")):
+        ids = library.encode(t or "", num_threads=1) + [library.eos_id()]
+        assert got[i] == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))), i
+    assert rows(encode_digests(none, MODEL)) == []
+    both = decode_ids(encode_ids(docs.select("doc_id", "text"), MODEL), MODEL)
+    for r in both.collect():
+        assert r["ids"] == library.encode(r["text"] or "", num_threads=1) + [2] and r["decoded"] == library.decode(r["ids"])
+
+
+def test_sentencepiece_on_random_texts(library):
+    table, rng = PrefixTable(MODEL), random.Random(1)
+    parts = ["▁", " ", "  ", "\n", "\t", "a", "e", "th", "ing", "é", "ß", "☃", "😀", "\x00", "the", " of", "0", "12", "<s>", "\r\n", "ﬁ", "漢", "字", "'s", "....", "    ", "aaaa", "-", "�"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        ids = library.encode(text, num_threads=1) + [2]
+        assert table.encode(text) == ids and table.decode(ids) == library.decode(ids)
+        assert table.digest(text)[2] == sha(library.decode(ids))
+    for ids in ([], [2], [0], [28705, 0, 5], [300, 198, 259]):
+        assert table.decode(ids) == library.decode(ids)
+
+
+# 4. Jaccard -------------------------------------------------------------------------------------
+
+
+def shingle_set(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_jaccard(texts):
+    sets = [(i, shingle_set(t)) for i, t in texts]
+    links = []
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                links.append((i, j))
+    return {(i, len(a), c) for i, a in sets for c in [groups({i for i, _ in sets if i is not None}, links).get(i)]}
+
+
+def test_jaccard(spark, docs, none):
+    assert set(rows(ngram_jaccard.jaccard_components(docs))) == brute_jaccard(rows(docs.select("doc_id", "text")))
+    assert rows(ngram_jaccard.jaccard_components(none)) == []
+    kept = [r[0] for r in rows(ngram_jaccard.keep_one(docs).select("doc_id"))]
+    assert 900005 in kept and 900006 not in kept and None in kept
+
+
+def test_jaccard_of_large_families(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 8)
+    monkeypatch.setattr(ngram_jaccard, "LEAST", 3)
+    monkeypatch.setattr(ngram_jaccard, "LOCAL", 1)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(4000)}"
+    common = [word() for _ in range(12)]
+    texts = []
+    for family in range(3):
+        base = [word() for _ in range(60)] + common
+        for _ in range(45):
+            t = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                t[rng.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+    texts += [" ".join([*(word() for _ in range(30)), *common]) for _ in range(40)] + texts[:5]
+    pairs = list(enumerate(texts))
+    got = set(rows(ngram_jaccard.jaccard_components(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3))))
+    assert got == brute_jaccard(pairs)
+
+
+def test_tree_finds_all_that_its_bound_allows():
+    rng = np.random.default_rng(2)
+    points = rng.poisson(1.5, (90, ngram_jaccard.GROUPS)).astype(np.int32)
+    points[40:60] = points[:20] + (rng.random((20, ngram_jaccard.GROUPS)) < 0.03)
+    sizes = points.sum(axis=1)
+    a, b = ngram_jaccard.CountTree(points[:50], sizes[:50]), ngram_jaccard.CountTree(points[50:], sizes[50:])
+    want = {(i, j) for i in range(50) for j in range(40) if 180 * np.minimum(points[i], points[50 + j]).sum() >= 80 * (sizes[i] + sizes[50 + j]) and 100 * min(sizes[i], sizes[50 + j]) >= 80 * max(sizes[i], sizes[50 + j])}
+    assert want and set(a.candidates(b)) == want
+
+
+# 5. Token counts --------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("heavy", [100_000, 50])
+def test_token_counts(spark, docs, none, library, heavy, monkeypatch):
+    monkeypatch.setattr(token_counts, "HEAVY", heavy)
+    got = Counter(rows(token_counts.token_counts(docs, MODEL, limit=500)))
+    want = Counter()
+    for i, t in rows(docs.select("doc_id", "text")):
+        n = len(library.encode(t or "", num_threads=1))
+        want[i, len((t or "").encode()), n, n > 500] += 1
+    assert got == want
+    assert rows(token_counts.token_counts(none, MODEL)) == []
+
+
+# 6. Toxicity ------------------------------------------------------------------------------------
+
+
+def test_toxicity(spark, docs, none):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    real = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    out = toxicity_chain.toxicity(real, labels)
+    held = rows(out.filter("held_out").join(labels, "doc_id").select(labels["toxic"], "predicted"))
+    assert len(held) > 500
+    hit = sum(a == b == 1 for a, b in held)
+    assert hit >= 0.95 * sum(a for a, _ in held) and hit >= 0.95 * sum(b for _, b in held)
+    odd = toxicity_chain.toxicity(docs, labels)
+    assert odd.count() == docs.count() and odd.filter("toxic < 0 or toxic > 1 or toxic is null").isEmpty()
+    assert {r[2] for r in rows(toxicity_chain.toxicity(docs, labels.limit(0)))} == {0.0}
+    assert rows(toxicity_chain.toxicity(none, labels)) == []
+
+
+# 7. Language ------------------------------------------------------------------------------------
+
+
+def test_language(spark, docs, none):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language_kernel.language_of_documents(real)
+    held = rows(out.filter("held_out").join(real.select("doc_id", "lang"), "doc_id").select("lang", "lang_pred"))
+    assert len(held) > 200 and sum(a == b for a, b in held) >= 0.98 * len(held)
+    odd = {r["doc_id"]: r for r in language_kernel.language_of_documents(docs).collect()}
+    assert len(odd) == docs.select("doc_id").distinct().count()
+    assert {odd[i]["lang_pred"] for i in (900001, 900002, 900003, 900009)} == {"und"}
+    assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i if i is not None else "").encode()) % 3 == 1) for i, r in odd.items())
+    assert rows(language_kernel.language_of_documents(none)) == []
+    assert {r["lang_pred"] for r in language_kernel.language_of_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# 8. Lines ---------------------------------------------------------------------------------------
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def brute_lines(texts):
+    """Exact repeats go; then lines near a line that an earlier document keeps."""
+    last = line_dedup.LAST_ID
+    blank = lambda x: not x.strip(" \t\r\x0b\x0c")
+    first = {}
+    for i, t in texts:
+        for x in (t or "").split("\n"):
+            if not blank(x):
+                first[x] = min(first.get(x, last), last if i is None else i)
+    gone = set()
+    lines = sorted((x for x in first if len(x) >= line_dedup.LEAST), key=lambda x: (first[x], len(x), x.encode()))
+    for k, x in enumerate(lines):
+        if any(abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in lines[:k]):
+            gone.add(x)
+    out = []
+    for i, t in texts:
+        kept, seen = [], set()
+        for x in (t or "").split("\n"):
+            if blank(x) or x not in seen and first[x] == (last if i is None else i) and x not in gone:
+                kept.append(x)
+            seen.add(x)
+        out.append((i, len((t or "").split("\n")) if t is not None else 0, sha("\n".join(kept))))
+    return Counter(out)
+
+
+def test_lines(spark, docs, none):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdé 😀") for _ in range(rng.randint(30, 60))) for _ in range(12)]
+    noisy = []
+    for k in range(120):
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            x[rng.randrange(len(x)) :][:1] = []
+            x.insert(rng.randrange(len(x)), rng.choice("abcdxyz"))
+            if rng.random() < 0.5:
+                del x[rng.randrange(len(x))]
+        noisy.append((930000 + k // 3, "".join(x)))
+    extra = spark.createDataFrame(noisy, "doc_id long, text string").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    few = docs.select("doc_id", "text").filter("length(text) < 3000 or text is null").unionByName(extra)
+    got = Counter((r[0], r[1], r[3]) for r in rows(line_dedup.line_digests(few)))
+    assert got == brute_lines(rows(few.select("doc_id", "text")))
+    assert rows(line_dedup.line_digests(none)) == []
+    out = line_dedup.unrepeated(docs)
+    assert out.columns == docs.columns and out.filter("doc_id = 900003").count() == 1
+
+
+def test_automaton(spark):
+    rng, found = random.Random(2), [("", "ab"), ("", "abc"), ("abcd", ""), ("", "")]
+    for _ in range(300):
+        a = "".join(rng.choice("abé😀") for _ in range(rng.randint(0, 12)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "é", "😀"])
+        found.append((a, "".join(b)))
+    pair = F.struct(line_dedup.characters(F.col("a")).alias("a"), line_dedup.characters(F.col("b")).alias("b"))
+    for a, b, near in rows(spark.createDataFrame(found, "a string, b string").withColumn("near", line_dedup.bound(pair, lambda z: line_dedup.within(z["a"], z["b"])))):
+        assert near == (edits(a, b) <= line_dedup.EDITS), (a, b)
+
+
+def test_line_dedup_runs_no_python(spark, docs):
+    plan = line_dedup.line_digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# 9. Media ---------------------------------------------------------------------------------------
+
+
+def test_media_round_trip(spark, docs, none):
+    got = {r["doc_id"]: r for r in media_sniff.media_columns(docs).collect()}
+    for i, t in rows(docs.select("doc_id", "text")):
+        raw = (t or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_bytes"] == len(payload) + 44 and r["feature"].startswith("audio/wav")
+        assert r["media_sha256"] == hashlib.sha256(media_sniff.wav(payload)).hexdigest()
+    assert rows(media_sniff.media_columns(none)) == []
+
+
+def test_sniffing(spark):
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    gif = b"GIF89a\x01\0\x01\0\0\0\0,\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0;"
+    bmp = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 58, 0, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0\0\0\0"
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x02xyz\xff\xd9"
+    pdf = b"%PDF-1.4\nxref\nstartxref\n9\n%%EOF"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("a", "b" * 50)
+    ogg = b"OggS\0\x04" + b"\0" * 20 + b"\x01\x03abc"
+    flac = b"fLaC" + b"\x80\0\0\x22" + b"\0" * 34 + b"frames"
+    mp4 = struct.pack(">I4s4s", 12, b"ftyp", b"isom") + struct.pack(">I4s", 8, b"moov")
+    whole = {"image/png": png, "image/gif": gif, "image/bmp": bmp, "image/jpeg": jpeg, "application/pdf": pdf, "application/zip": buffer.getvalue(), "application/gzip": gzip.compress(b"hello"), "audio/ogg": ogg, "audio/flac": flac, "video/mp4": mp4, "audio/wav": media_sniff.wav(b"abc")}
+    for kind, data in whole.items():
+        assert media_sniff.sniff_bytes(data)[:2] == (kind, len(data)), kind
+        if kind != "audio/flac":
+            assert media_sniff.sniff_bytes(b"junk" + data + b"tail")[2] == [(kind, 4, len(data))], kind
+        assert media_sniff.sniff_bytes(data[:-2])[0] != kind or kind in ("audio/flac", "video/mp4"), kind
+    assert media_sniff.sniff_bytes(media_sniff.wav(b"xx" + png + b"y")) == ("audio/wav", 44 + len(png) + 4, [("image/png", 46, len(png))])
+    found = media_sniff.sniff(spark.createDataFrame([(1, bytearray(png), "image/jpeg"), (2, None, None), (3, bytearray(b"BM text"), "image/bmp")], "i int, media binary, said string"), "media", "said")
+    assert [(r["media_type"], r["corrected"], r["embedded"]) for r in found.orderBy("i").collect()] == [("image/png", True, []), (None, False, []), (None, False, [])]
+
+
+# 10. Vectors ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("cell", "block"), [(1024, 256), (20, 7)])
+def test_vectors(spark, sf_dir, cell, block, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", cell)
+    monkeypatch.setattr(metric_join, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    real = [(r[0], r[1], r[2]) for r in rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))][:250]
+    family = rng.normal(size=64)
+    near = [(5000 + k, [float(x) for x in family + rng.normal(size=64) * rng.choice([0.05, 0.25, 0.3])], k % 2) for k in range(80)]
+    odd = [(6000, None, 1), (6001, [0.0] * 64, 1), (6002, [float("nan")] * 64, 1), (6003, [None] + [1.0] * 63, 1), (6004, real[0][1], None), (6005, [1.0, 0.0], 1), (6006, [2.0, 0.0], 1), (6007, [], 1), (6008, [float("inf")] * 64, 1), (None, real[0][1], real[0][2]), (6009, real[0][1], real[0][2]), (6010, [3e38] * 64, 3), (6011, [1e-30] * 64, 3)]
+    table = real + near + odd
+    got = {r["vec_id"]: r for r in metric_join.embedding_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<float>, label int")).collect()}
+    good = [(i, np.array(v, np.float32).astype(float), y) for i, v, y in table if i is not None and v and y is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    links = [(a[0], b[0]) for k, a in enumerate(good) for b in good[:k] if a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] / np.sqrt((a[1] @ a[1]) * (b[1] @ b[1])) >= 0.93 or {a[0], b[0]} == {6010, 6011}]
+    links = list(set(links))
+    counts = Counter(x for e in links for x in e)
+    want = groups({i for i, *_ in table if i is not None}, links)
+    assert len(got) == len(table) and len(links) > 300
+    for i, r in got.items():
+        assert i is None or (r["n_links"], r["component_id"], r["kept"]) == (counts[i], want[i], want[i] == i), i
+    assert tuple(got[None]) == (None, 0, None, False)
+    assert rows(metric_join.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))) == []

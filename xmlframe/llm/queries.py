@@ -8,9 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_kernel import language_of_documents
+from .line_dedup import line_digests
 from .media_sniff import media_columns
+from .metric_join import embedding_duplicates
+from .ngram_jaccard import jaccard_components
+from .quality_rules import quality_scores
 from .sentencepiece_bpe import encode_digests
 from .source_mixing import mixed_taken
+from .token_counts import token_counts
+from .toxicity_chain import toxicity
 
 PIECES = "piece_bpe_32k.model"
 
@@ -19,6 +25,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_taken(_documents(spark, sf_dir))
 
@@ -27,14 +37,34 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of_documents(_documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(_documents(spark, sf_dir))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_documents(spark, sf_dir))
 
 
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
