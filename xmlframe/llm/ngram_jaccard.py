@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -34,6 +33,8 @@ GROUPS, BLOCK, LEAF = 128, 128, 16
 #: Common shingles that the order knows, at most; how often a task must see one; how often all must.
 COMMON, LOCAL, LEAST = 200_000, 3, 32
 WORDS_KEPT, SHINGLES_HELD = 500_000, 2_000_000
+#: Ids up to which a list is broadcast instead of the texts' being shuffled.
+FEW = 400_000
 
 
 class _Words(dict):
@@ -84,14 +85,26 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def counts_of(s: np.ndarray) -> bytes:
+    """The count vector of a set, with two bytes for each count or four where two are too few."""
+    c = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return c.astype(np.uint16 if c.max() < 65_536 else np.uint32).tobytes()
+
+
+def counts_from(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * GROUPS else np.uint32).astype(np.int32)
+
+
 def _scan(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows (id, n, k1, k2) of documents, and rows (s, c): shingles that a task saw c >= LOCAL times."""
+    """Rows (id, n, k1, k2, points) of documents, and rows (s, c): shingles that a task saw c >= LOCAL
+    times."""
+    names = ["id", "n", "k1", "k2", "points", "s", "c"]
 
     def common(held: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         keep = counts >= LOCAL
         none = pa.nulls(int(keep.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["id", "n", "k1", "k2", "s", "c"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -99,7 +112,7 @@ def _scan(docs: DataFrame, seed: int) -> DataFrame:
             sets = [shingles(t, seed) for t in part.column(1).to_pylist()]
             keys = [digest(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), none, none], ["id", "n", "k1", "k2", "s", "c"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counts_of(s) for s in sets], pa.binary()), none, none], names)
             held += sets
             size += sum(map(len, sets))
             if size >= SHINGLES_HELD:
@@ -108,7 +121,7 @@ def _scan(docs: DataFrame, seed: int) -> DataFrame:
         if held:
             yield common(held)
 
-    return docs.mapInArrow(work, "id long, n long, k1 long, k2 long, s long, c long")
+    return docs.mapInArrow(work, "id long, n long, k1 long, k2 long, points binary, s long, c long")
 
 
 def _prefixes(docs: DataFrame, seed: int, common, want_common: bool) -> DataFrame:
@@ -143,16 +156,15 @@ def _prefixes(docs: DataFrame, seed: int, common, want_common: bool) -> DataFram
     return docs.mapInArrow(work, "s long, k1 long")
 
 
-def _sets(docs: DataFrame, seed: int) -> DataFrame:
-    """(k1, size, points, elements) of each row: the count vector and the sorted hashes as bytes."""
+def _elements(docs: DataFrame, seed: int) -> DataFrame:
+    """(k1, elements) of each row: the sorted hashes as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = [shingles(t, seed) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-            points = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "size", "points", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "elements"])
 
-    return docs.mapInArrow(work, "k1 long, size long, points binary, elements binary")
+    return docs.mapInArrow(work, "k1 long, elements binary")
 
 
 class CountTree:
@@ -170,14 +182,11 @@ class CountTree:
             high.append(np.maximum.reduceat(high[-1], at))
         self.tops, self.low, self.high = tops, low, high
 
-    def candidates(self, other: CountTree) -> Iterator[tuple[int, int]]:
-        """Pairs (row here, row there) whose bound allows a link, from the roots down."""
+    def candidates(self, other: CountTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (rows here, rows there) whose bound allows a link, from the roots down, leaf by leaf."""
         pairs = [(len(self.tops) - 1, 0, len(other.tops) - 1, 0)]
         while pairs:
             la, a, lb, b = pairs.pop()
-            if la == 0 and lb == 0:
-                yield int(self.order[a]), int(other.order[b])
-                continue
             # The children of both boxes, bounded in one go; a point is its own child.
             xs = np.arange(a * LEAF, min((a + 1) * LEAF, len(self.tops[la - 1]))) if la else np.array([a])
             ys = np.arange(b * LEAF, min((b + 1) * LEAF, len(other.tops[lb - 1]))) if lb else np.array([b])
@@ -187,7 +196,12 @@ class CountTree:
             fits = (100 + PERCENT) * bound >= PERCENT * (self.low[da][xs][:, None] + other.low[db][ys][None, :])
             fits &= 100 * self.high[da][xs][:, None] >= PERCENT * other.low[db][ys][None, :]
             fits &= 100 * other.high[db][ys][None, :] >= PERCENT * self.low[da][xs][:, None]
-            pairs.extend((da, int(xs[i]), db, int(ys[j])) for i, j in zip(*np.nonzero(fits), strict=True))
+            i, j = np.nonzero(fits)
+            if da == 0 and db == 0:
+                if len(i):
+                    yield self.order[xs[i]], other.order[ys[j]]
+            else:
+                pairs.extend((da, int(x), db, int(y)) for x, y in zip(xs[i], ys[j], strict=True))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -195,28 +209,46 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _join_bucket(group: pd.DataFrame) -> pd.DataFrame:
+def _sides(group: pa.Table) -> tuple[list[np.ndarray], list[CountTree]]:
+    """Row numbers and trees of a group's two sides; no trees if a side is empty."""
+    rows = [np.flatnonzero(group.column(side).to_numpy()) for side in ("left", "right")]
+    if not len(rows[0]) or not len(rows[1]):
+        return rows, []
+    points, n = np.stack([counts_from(p) for p in group.column("points").to_pylist()]), group.column("n").to_numpy()
+    trees = [CountTree(points[r], n[r]) for r in rows[: 1 if group.column("x")[0] == group.column("y")[0] else 2]]
+    return rows, [trees[0], trees[-1]]
+
+
+def _hopeful(group: pa.Table) -> pa.Table:
+    """The sets of a group that the tree pairs with another set."""
+    (left, right), trees = _sides(group)
+    keys, found = group.column("k1").to_numpy(), np.zeros(group.num_rows, bool)
+    for i, j in trees[0].candidates(trees[1]) if trees else ():
+        a, b = left[i], right[j]
+        other = keys[a] != keys[b]
+        found[a[other]] = found[b[other]] = True
+    return group.filter(pa.array(found))
+
+
+def _join_bucket(group: pa.Table) -> pa.Table:
     """A spanning set of the links between the two sides of a group (within it, if they are one)."""
-    left, right = group[group["left"]], group[group["right"]]
-    out = []
-    if len(left) and len(right):
-        keys = [left["k1"].to_numpy(), right["k1"].to_numpy()]
-        sets = [[np.frombuffer(e, np.uint64) for e in side["elements"]] for side in (left, right)]
-        trees = [CountTree(np.frombuffer(b"".join(side["points"]), np.int32).reshape(len(side), -1), side["size"].to_numpy()) for side in (left, right)]
-        top: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while top.setdefault(x, x) != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
-        for i, j in trees[0].candidates(trees[1]):
-            a, b = root(int(keys[0][i])), root(int(keys[1][j]))
-            if a != b and linked(sets[0][i], sets[1][j]):
+    (left, right), trees = _sides(group)
+    keys, sets = group.column("k1").to_pylist(), [np.frombuffer(e, np.uint64) for e in group.column("elements").to_pylist()]
+    top, out = {k: k for k in keys}, []
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for rows, others in trees[0].candidates(trees[1]) if trees else ():
+        for i, j in zip(left[rows].tolist(), right[others].tolist(), strict=True):
+            a, b = root(keys[i]), root(keys[j])
+            if a != b and linked(sets[i], sets[j]):
                 top[max(a, b)] = min(a, b)
-                out.append((int(keys[0][i]), int(keys[1][j])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                out.append((keys[i], keys[j]))
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,8 +260,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     for seed in range(8):
         scan = materialize(_scan(rows, seed), "jaccard-scan")
-        info = scan.filter("n is not null").select("id", "n", "k1", "k2")
-        sets = info.filter("n > 0 and id is not null").groupBy("k1").agg(F.min("id").alias("rep"), F.min("k2").alias("low"), F.max("k2").alias("high"))
+        info = scan.filter("n is not null").select("id", "n", "k1", "k2", "points")
+        sets = info.filter("n > 0 and id is not null").groupBy("k1").agg(F.min("id").alias("rep"), F.min("k2").alias("low"), F.max("k2").alias("high"), F.min("n").alias("n"), F.min("points").alias("points"))
         sets = materialize(sets, "jaccard-sets")
         if sets.filter("low <> high").isEmpty():  # else two sets share 64 bits: hash anew
             break
@@ -257,11 +289,15 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     cut = cut.select("bucket", "k1", mine.alias("block"), F.explode(pairs).alias("p"))
     cut = cut.select("bucket", "k1", "p.x", "p.y", (F.col("block") == F.col("p.x")).alias("left"), (F.col("block") == F.col("p.y")).alias("right"))
 
+    # First the trees alone: sets without a candidate go before any set's elements are fetched.
+    dealt = cut.join(sets.select("k1", "n", "points"), "k1")
+    kept = "bucket long, k1 long, x int, y int, left boolean, right boolean, n long, points binary"
+    hopeful = materialize(dealt.groupBy("bucket", "x", "y").applyInArrow(_hopeful, kept), "jaccard-hopeful")
     # Equal sets are equal bytes whichever copy gives them, so the smallest id's text is read.
-    wanted = members.select("k1").distinct().join(sets.select("k1", F.col("rep").alias("id")), "k1").select("id").distinct()
-    elements = _sets(keyed.join(wanted, "id", "left_semi"), seed).dropDuplicates(["k1"])
-    elements = materialize(elements, "jaccard-elements")
-    groups = cut.join(elements, "k1").groupBy("bucket", "x", "y").applyInPandas(_join_bucket, "a long, b long")
+    wanted = materialize(hopeful.select("k1").distinct().join(sets.select("k1", F.col("rep").alias("id")), "k1").select("id"), "jaccard-wanted")
+    few = wanted.limit(FEW + 1).count() <= FEW
+    elements = materialize(_elements(keyed.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), seed), "jaccard-elements")
+    groups = hopeful.join(elements, "k1").groupBy("bucket", "x", "y").applyInArrow(_join_bucket, "a long, b long")
     links = materialize(groups, "jaccard-links")
     rep = sets.select("k1", "rep")
     edges = links.join(rep.select(F.col("k1").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("k1").alias("b"), F.col("rep").alias("rb")), "b")
