@@ -25,19 +25,18 @@ from .common import materialize
 from .components import components
 
 #: Vectors that a cell should be home of; pivots of all labels together; rows in a block.
-CELL, PIVOTS, BLOCK = 1024, 4096, 256
+CELL, PIVOTS, BLOCK = 4096, 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, label, size, v) of the vectors that can have links; v is the array in double precision."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """(id, label, size, v) of the vectors that can have links."""
     good = vectors.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-    good = good.select("id", "label", F.size("embedding").alias("size"), v.alias("v"))
+    good = good.select("id", "label", F.size("embedding").alias("size"), F.col("embedding").cast("array<float>").alias("v"))
     good = good.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     return good.filter(F.exists("v", lambda x: x != 0))
 
 
-def unit(rows: list) -> np.ndarray:
+def unit(rows) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so that squares neither vanish nor overflow."""
     x = np.array(rows, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -90,13 +89,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     shared = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors at most
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(ids, label, size, unit vectors, homes, cells) of the rows of each label in a batch."""
+        """(ids, label, size, vectors, homes, cells) of the rows of each label in a batch."""
         for batch in batches:
             frame = batch.to_pandas()
             for (label, size), part in frame.groupby(["label", "size"], sort=False):
-                v = unit(part["v"].tolist())
+                v = np.stack(part["v"].tolist())
                 p = shared.value.get((label, size))
-                home, held = cells(v, p, eps) if p is not None else (np.zeros(len(v), int), np.ones((len(v), 1), bool))
+                home, held = cells(unit(v), p, eps) if p is not None else (np.zeros(len(v), int), np.ones((len(v), 1), bool))
                 yield part["id"].to_numpy(np.int64), label, size, v, home, held
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +120,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
                     continue
                 a = np.concatenate([np.repeat(salt[mine] % np.uint64(own), all_), np.tile(np.arange(own), len(here))])
                 b = np.concatenate([np.tile(np.arange(all_), len(mine)), np.repeat(salt[here] % np.uint64(all_), own)])
-                yield pa.RecordBatch.from_pydict({"label": [label] * len(rows), "size": pa.array([size] * len(rows), pa.int32()), "cell": pa.array([cell] * len(rows), pa.int32()), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "home": np.arange(len(rows)) < len(mine) * all_, "id": ids[rows], "v": pa.array([x.tobytes() for x in v[rows]], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"label": [label] * len(rows), "size": pa.array([size] * len(rows), pa.int32()), "cell": pa.array([cell] * len(rows), pa.int32()), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "home": np.arange(len(rows)) < len(mine) * all_, "id": ids[rows], "v": _bytes(v[rows])})
 
     dealt = keyed.mapInArrow(deal, "label string, size int, cell int, a int, b int, home boolean, id long, v binary")
     found = materialize(dealt.groupBy("label", "size", "cell", "a", "b").applyInPandas(_join_blocks(cosine), "id long, n long, link long"), "vector-links")
@@ -131,14 +130,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     return out.select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
 
 
+def _bytes(v: np.ndarray) -> pa.Array:
+    """Each row's numbers in single precision, as the table has them."""
+    v = np.ascontiguousarray(v, np.float32)
+    ends = np.arange(len(v) + 1, dtype=np.int32) * (4 * v.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends), pa.py_buffer(v)])
+
+
 def _join_blocks(cosine: float):
     def join(group: pd.DataFrame) -> pd.DataFrame:
         mine, held = group[group["home"]], group[~group["home"]]
         if not len(mine) or not len(held):
             return pd.DataFrame({"id": [], "n": [], "link": []}).astype("int64")
         ia, ib = mine["id"].to_numpy(), held["id"].to_numpy()
-        va = np.frombuffer(b"".join(mine["v"]), np.float64).reshape(len(mine), -1)
-        vb = np.frombuffer(b"".join(held["v"]), np.float64).reshape(len(held), -1)
+        va, vb = (unit(np.frombuffer(b"".join(side["v"]), np.float32).reshape(len(side), -1)) for side in (mine, held))
         near = (va @ vb.T >= cosine) & (ia[:, None] != ib)
         # The smallest id that links of this group reach, for all rows of both blocks.
         la, lb, none = ia.copy(), ib.copy(), np.iinfo(np.int64).max
