@@ -99,17 +99,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     0.5, or the only label. A document with several labels counts with the largest."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (id_remainder("doc_id", folds) != 0))
     known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("double").alias("label"))
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        p = next(iter(counts), 0.5)
-        return RuleEnsemble([], [], {0.0: -10.0, 1.0: 10.0}.get(p, 0.0))
-    total = sum(counts.values())
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < min(1.0, rows / total) * (1 << 20))
+    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < min(1.0, rows / max(1, known.count())) * (1 << 20))
     # At most about `rows` ids: a few hundred KB whatever the input, so that no text is shuffled.
     train = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     stats = statistics(F.col("text"))
     names = list(stats)
-    train = materialize(prepared(train, "text").select("label", *[c.cast("double").alias(k) for k, c in stats.items()]), "quality-fit").repartition(4).sortWithinPartitions("label", *names)
+    train = materialize(prepared(train, "text").select("label", *[c.cast("double").alias(k) for k, c in stats.items()]), "quality-fit")
+    kinds = [r[0] for r in train.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return RuleEnsemble([], [], {0.0: -10.0, 1.0: 10.0}[kinds[0]] if kinds else 0.0)
+    # A handful of partitions in a fixed order: fitting is many small jobs, and must not vary by run.
+    train = train.repartition(4, "label", *names).sortWithinPartitions("label", *names)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(train).select("label", "features", *names).cache()
     try:
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.5, seed=1, cacheNodeIds=False).fit(data)
