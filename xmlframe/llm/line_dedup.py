@@ -18,6 +18,7 @@ aggregated before they are joined, and the join back is one that Spark can split
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ LAST_ID = (1 << 63) - 1
 
 
 def _blank(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""
+    return F.ltrim(line, F.lit(" \t\r\x0b\x0c")) == ""
 
 
 def _lines(text: str = "text") -> Column:
@@ -69,7 +70,7 @@ def _drop_lines(docs: DataFrame, drops: DataFrame, few: bool) -> DataFrame:
 
 def _exact_drops(docs: DataFrame) -> DataFrame:
     """(id, h): lines of a document that an earlier document has."""
-    seen = docs.select("id", F.explode(F.array_distinct(_lines())).alias("line")).filter(~_blank(F.col("line")))
+    seen = docs.select("id", F.explode(_lines()).alias("line")).filter(~_blank(F.col("line")))
     # 128 bits name a line; 64 of them do within a document.
     seen = seen.select("id", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
     first = seen.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "g", "first")
@@ -100,6 +101,18 @@ def characters(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
+def letter_counts(line: Column) -> Column:
+    """The counts of eight common letters, modulo 256, in the bytes of a long."""
+    count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate("eainorst")])
+
+
+def counts_allow(a: Column, b: Column) -> Column:
+    """Whether letter counts are near enough: an edit changes their sum of differences by two at most."""
+    gap = [F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255))) for k in range(8)]
+    return reduce(lambda x, y: x + y, [F.least(g, 256 - g) for g in gap]) <= 2 * EDITS
+
+
 def within(a: Column, b: Column) -> Column:
     """Whether two arrays of characters are within EDITS edits. Step i of the automaton takes character i
     of a; bit k stands for the prefix of b that is k - EDITS longer than i."""
@@ -136,9 +149,11 @@ def _near_drops(docs: DataFrame) -> DataFrame:
     lines = docs.select("id", F.explode(_lines()).alias("line")).withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
     index, probe = _keys(F.col("line"), F.col("n"))
     h = F.xxhash64("line").alias("h")
-    left = lines.select(h, F.explode(index).alias("key"))
-    right = lines.select(F.xxhash64("line").alias("p"), F.explode(probe).alias("key"))
-    pairs = materialize(left.join(right, "key").filter("h <> p").select("h", "p").distinct(), "line-pairs")
+    left = lines.select(h, letter_counts(F.col("line")).alias("c"), index.alias("keys")).select("h", "c", F.explode("keys").alias("key"))
+    right = lines.select(h.alias("p"), letter_counts(F.col("line")).alias("d"), probe.alias("keys")).select("p", "d", F.explode("keys").alias("key"))
+    # The letters decide within the join: lines of a family that share segments but not words do not pair.
+    met = left.hint("shuffle_hash").join(right, (left["key"] == right["key"]) & (F.col("h") != F.col("p")) & counts_allow(F.col("c"), F.col("d")))
+    pairs = materialize(met.select("h", "p").distinct(), "line-pairs")
     met = materialize(pairs.select("h").unionAll(pairs.select("p")).distinct(), "line-met")
     few = met.limit(FEW + 1).count() <= FEW
     texts = materialize(lines.select("id", "line", h).join(F.broadcast(met) if few else met, "h"), "line-texts")
