@@ -25,6 +25,8 @@ def escape(text: Column, mode: str = "default") -> Column:
     if mode == "attr_quot":
         return _replace(text, ("&", "&amp;"), ("<", "&lt;"), ('"', "&#34;"))
     five = _replace(text, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"))
+    if mode == "default":
+        return five
     if mode == "ascii":
         return _references(five, lambda c: F.concat(F.lit("&#"), code_point(c).cast("string"), F.lit(";")))
     if mode == "normal":

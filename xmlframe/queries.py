@@ -287,11 +287,11 @@ def _check_query(dialect: str, at: int):
         key = F.col("o_orderkey")
         docs = t(spark, sf_dir, "orders").select(key.alias("doc_id"), choose(key, [b[0] for b in BROKEN]).cast("string").alias("text"))
         found = events.check(docs, dialect=dialect)
-        return counted(found.select((F.col("doc_id") % len(BROKEN)).alias("k"), "ok", F.col("error.code").alias("code"), F.col("error.detail").alias("detail"), F.col("error.offset").alias("at")), "k", "ok", "code", "detail", "at")
+        return counted(found.select((F.col("doc_id") % len(BROKEN)).alias("k"), "ok", F.col("error.code").alias("code"), F.col("error.detail").alias("detail"), F.col("error.offset").alias("start")), "k", "ok", "code", "detail", "start")
 
     q = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
     values = ", ".join(f"({k}, {'true' if b[at] is None else 'false'}, {q(b[at])}, {q(b[at + 1])}, {q(b[at + 2])})" for k, b in enumerate(BROKEN))
-    return run, f"SELECT v.k::BIGINT AS k, ok, code, detail, at::BIGINT AS at, count(*) AS n FROM orders JOIN (VALUES {values}) v(k, ok, code, detail, at) ON o_orderkey % {len(BROKEN)} = v.k GROUP BY ALL"
+    return run, f"SELECT v.k::BIGINT AS k, ok, code, detail, begins::BIGINT AS start, count(*) AS n FROM orders JOIN (VALUES {values}) v(k, ok, code, detail, begins) ON o_orderkey % {len(BROKEN)} = v.k GROUP BY ALL"
 
 
 QUERIES["check_01_full"], ORACLES["check_01_full"] = _check_query("full", 1)
@@ -512,7 +512,7 @@ def de_03_booleans(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", *[codec.boolean(word, w).alias(n) for w, n in (("element", "element"), ("attribute", "attribute"), ("rpc", "message"))])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey <= 127 THEN o_orderkey END::TINYINT AS as_byte, CASE WHEN o_orderkey <= 255 THEN o_orderkey END::SMALLINT AS as_ubyte, o_orderkey::INT AS as_int, -o_orderkey AS as_long, NULL::BIGINT AS as_uint FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey <= 127 THEN o_orderkey END::TINYINT AS as_byte, CASE WHEN o_orderkey <= 255 THEN o_orderkey END::SMALLINT AS as_ubyte, o_orderkey::INT AS as_int, -o_orderkey AS as_long, CASE WHEN o_orderkey = 0 THEN 0 END::BIGINT AS as_uint FROM orders")
 def de_02_numbers(spark, sf_dir):
     text, minus = F.concat(F.lit(" +"), F.col("o_orderkey").cast("string"), F.lit("\n")), F.concat(F.lit("-"), F.col("o_orderkey").cast("string"))
     return t(spark, sf_dir, "orders").select("o_orderkey", *[codec.integer(text, k).alias(f"as_{k}") for k in ("byte", "ubyte", "int")], codec.integer(minus, "long").alias("as_long"), codec.integer(minus, "uint").alias("as_uint"))
