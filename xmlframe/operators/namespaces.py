@@ -43,7 +43,7 @@ def resolve_elements(rows: DataFrame) -> DataFrame:
     names = rows.filter("kind = 'STAG'").select("doc_id", "pos", "name", F.coalesce("prefix", F.lit("")).alias("prefix"), "local")
     got = _resolve(names, scopes(rows), ["doc_id", "pos", "name", "prefix", "local"])
     uri = _fixed(F.col("prefix"), F.col("uri"))
-    error = F.when(F.col("local").isNull() | (F.col("local") == "xmlns"), "IllegalName").when((F.col("prefix") != "") & uri.isNull(), "UnknownNamespacePrefix")
+    error = F.when(F.col("local").isNull() | (F.col("local") == "xmlns"), "IllegalName").when((F.col("prefix") != "") & uri.isNull() & ~F.col("declared"), "UnknownNamespacePrefix")
     return got.select("doc_id", "pos", "name", "prefix", "local", uri.alias("ns_uri"), error.alias("error"))
 
 
@@ -56,7 +56,7 @@ def resolve_attributes(rows: DataFrame) -> DataFrame:
     keys = ["doc_id", "pos", "ord", "name", "value", "prefix", "local"]
     got = _resolve(a, scopes(rows), keys).withColumn("ns_uri", F.when(F.col("prefix").isNotNull(), _fixed(F.col("prefix"), F.col("uri"))))
     same = Window.partitionBy("doc_id", "pos", "ns_uri", "local").orderBy("ord")
-    error = F.when(F.col("local").isNull(), "IllegalName").when(F.col("prefix").isNotNull() & F.col("ns_uri").isNull(), "UnknownNamespacePrefix").when(F.row_number().over(same) > 1, "NonUniqueAttribute")
+    error = F.when(F.col("local").isNull(), "IllegalName").when(F.col("prefix").isNotNull() & F.col("ns_uri").isNull() & ~F.col("declared"), "UnknownNamespacePrefix").when(F.row_number().over(same) > 1, "NonUniqueAttribute")
     return got.select(*keys, "ns_uri", error.alias("error"))
 
 
