@@ -102,15 +102,15 @@ def characters(line: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """The counts of eight common letters, modulo 256, in the bytes of a long."""
+    """The counts of sixteen common letters, modulo 16, in the half bytes of a long."""
     count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate("eainorst")])
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate("eainortsdhlucmgw")])
 
 
 def counts_allow(a: Column, b: Column) -> Column:
     """Whether letter counts are near enough: an edit changes their sum of differences by two at most."""
-    gap = [F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255))) for k in range(8)]
-    return reduce(lambda x, y: x + y, [F.least(g, 256 - g) for g in gap]) <= 2 * EDITS
+    gap = [F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15))) for k in range(16)]
+    return reduce(lambda x, y: x + y, [F.least(g, 16 - g) for g in gap]) <= 2 * EDITS
 
 
 def within(a: Column, b: Column) -> Column:
@@ -145,12 +145,14 @@ def within(a: Column, b: Column) -> Column:
 
 
 def _near_drops(docs: DataFrame) -> DataFrame:
-    """(id, h): lines that are near an earlier one. docs must be exactly deduplicated and written."""
-    lines = docs.select("id", F.explode(_lines()).alias("line")).withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
+    """(id, h): lines that are near an earlier one. docs (id, text, and counts, the letter counts of the
+    lines) must be exactly deduplicated and written."""
+    each = F.explode(F.arrays_zip(_lines().alias("line"), F.col("counts").alias("c"))).alias("x")
+    lines = docs.select("id", each).select("id", "x.line", "x.c").withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
     index, probe = _keys(F.col("line"), F.col("n"))
     h = F.xxhash64("line").alias("h")
-    left = lines.select(h, letter_counts(F.col("line")).alias("c"), index.alias("keys")).select("h", "c", F.explode("keys").alias("key"))
-    right = lines.select(h.alias("p"), letter_counts(F.col("line")).alias("d"), probe.alias("keys")).select("p", "d", F.explode("keys").alias("key"))
+    left = lines.select(h, "c", F.explode(index).alias("key"))
+    right = lines.select(h.alias("p"), F.col("c").alias("d"), F.explode(probe).alias("key"))
     # The letters decide within the join: lines of a family that share segments but not words do not pair.
     met = left.hint("shuffle_hash").join(right, (left["key"] == right["key"]) & (F.col("h") != F.col("p")) & counts_allow(F.col("c"), F.col("d")))
     pairs = materialize(met.select("h", "p").distinct(), "line-pairs")
@@ -172,9 +174,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     taken = {id_column, text}
     rows = docs.select(F.coalesce(F.col(id_column), F.lit(LAST_ID)).cast("long").alias("id"), F.col(text).alias("text"), F.col(id_column).alias("_own_id"), *[F.col(c).alias(f"_in_{c}") for c in docs.columns if c not in taken])
     rows = rows.withColumn("_n_lines", F.when(F.col("text").isNotNull(), F.size(_lines())).otherwise(0))
-    once = materialize(_drop_lines(rows, _exact_drops(rows.select("id", "text")), few=False), "line-exact")
-    near = materialize(_near_drops(once.select("id", "text")), "line-near")
-    out = _drop_lines(once, near, few=near.limit(FEW + 1).count() <= FEW)
+    once = _drop_lines(rows, _exact_drops(rows.select("id", "text")), few=False)
+    once = materialize(once.withColumn("_counts", F.transform(_lines(), letter_counts)), "line-exact")
+    near = materialize(_near_drops(once.select("id", "text", F.col("_counts").alias("counts"))), "line-near")
+    out = _drop_lines(once.drop("_counts"), near, few=near.limit(FEW + 1).count() <= FEW)
     kept = F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.size(_lines())).otherwise(F.when(F.col("text").isNull(), 0).otherwise(F.least(F.col("_n_lines"), F.lit(1))))
     named = [F.col("_own_id").alias(c) if c == id_column else F.col("text").alias(c) if c == text else F.col(f"_in_{c}").alias(c) for c in docs.columns]
     return out.select(*named, "_n_lines", kept.alias("_n_kept"))
