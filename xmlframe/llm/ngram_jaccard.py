@@ -1,7 +1,7 @@
 """N-gram Jaccard join: which documents share at least four fifths of their word 5-grams.
 
-The heart is a tree over count vectors. A document's shingles are hashed into GROUPS groups, and the
-counts of the groups are a point; the sum of the coordinate minima of two points bounds the overlap of
+The heart is a tree over count vectors. A document's shingles are hashed into groups, and the counts of
+the groups are a point; the sum of the coordinate minima of two points bounds the overlap of
 the two sets from above. The tree's inner boxes keep the largest coordinates and size ranges below them,
 so that pairs of boxes, then pairs of points, fall away before any sets are compared.
 
@@ -28,8 +28,8 @@ from .common import materialize, slices
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-#: Groups of shingles; sets in a block of a bucket; sets in a leaf of a tree.
-GROUPS, BLOCK, LEAF = 128, 128, 16
+#: Groups of shingles and shingles in a group, see counts_of; sets in a block of a bucket; sets in a leaf.
+GROUPS, SHARE, BLOCK, LEAF = 128, 11, 128, 16
 #: Common shingles that the order knows, at most; how often a task must see one; how often all must.
 COMMON, LOCAL, LEAST = 200_000, 3, 32
 WORDS_KEPT, SHINGLES_HELD = 500_000, 2_000_000
@@ -53,6 +53,10 @@ class _Words(dict):
 _words: dict[int, _Words] = {}
 
 
+#: Odd multipliers of a shingle's words, by place.
+MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -68,10 +72,11 @@ def shingles(text: bytes | None, seed: int = 0) -> np.ndarray:
     known = _words.setdefault(seed, _Words(seed))
     h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     width = min(WIDTH, len(h))
-    s = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(s)])
-    return np.unique(s)
+    n = len(h) - width + 1
+    s = h[:n] * MULTIPLIERS[0] + np.uint64(width)
+    for k in range(1, width):
+        s += h[k : k + n] * MULTIPLIERS[k]
+    return np.unique(_mix(s))
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -86,13 +91,13 @@ def prefix_size(n: int) -> int:
 
 
 def counts_of(s: np.ndarray) -> bytes:
-    """The count vector of a set, with two bytes for each count or four where two are too few."""
-    c = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return c.astype(np.uint16 if c.max() < 65_536 else np.uint32).tobytes()
-
-
-def counts_from(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * GROUPS else np.uint32).astype(np.int32)
+    """The count vector of a set. Large sets have more groups, or their bounds would tell little: GROUPS
+    times four until a group holds about SHARE shingles at most. Groups are leading bits of the hash, so
+    that fewer of them are sums of neighbours."""
+    groups = GROUPS
+    while len(s) > SHARE * groups:
+        groups *= 4
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.uint16).tobytes()
 
 
 def _scan(docs: DataFrame, seed: int) -> DataFrame:
@@ -124,15 +129,15 @@ def _scan(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(work, "id long, n long, k1 long, k2 long, points binary, s long, c long")
 
 
-def _prefixes(docs: DataFrame, seed: int, common, want_common: bool) -> DataFrame:
-    """(s, k1): the prefix shingles of each set - the common ones, or the others. A task names a set once
-    for its copies."""
+def _prefixes(docs: DataFrame, seed: int, common) -> DataFrame:
+    """(s, k1, often): the prefix shingles of each set, and whether they are common ones. A task names a
+    set once for its copies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = common.value
         seen: set[int] = set()
         for part in slices(batches, "text"):
-            out, owner = [], []
+            out, owner, often_out = [], [], []
             for t in part.column(1).to_pylist():
                 s = shingles(t, seed)
                 key = digest(s)[0]
@@ -140,20 +145,21 @@ def _prefixes(docs: DataFrame, seed: int, common, want_common: bool) -> DataFram
                     continue
                 if len(seen) < WORDS_KEPT:
                     seen.add(key)
-                at = np.minimum(np.searchsorted(values, s), max(0, len(values) - 1))
-                often = values[at] == s if len(values) else np.zeros(len(s), bool)
-                first, room = s[~often], prefix_size(len(s))
-                if want_common:
-                    last, rank = s[often], ranks[at[often]] if len(values) else np.zeros(0)
-                    first = last[np.argsort(rank, kind="stable")][: max(0, room - len(first))]
+                room = prefix_size(len(s))
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    often = values[at] == s
+                    rare = s[~often][:room]
+                    last = s[often][np.argsort(ranks[at[often]], kind="stable")][: room - len(rare)]
                 else:
-                    first = first[:room]
-                out.append(first)
-                owner.append(np.full(len(first), key, np.int64))
+                    rare, last = s[:room], s[:0]
+                out += [rare, last]
+                owner.append(np.full(len(rare) + len(last), key, np.int64))
+                often_out += [np.zeros(len(rare), bool), np.ones(len(last), bool)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner))], ["s", "k1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(often_out))], ["s", "k1", "often"])
 
-    return docs.mapInArrow(work, "s long, k1 long")
+    return docs.mapInArrow(work, "s long, k1 long, often boolean")
 
 
 def _elements(docs: DataFrame, seed: int) -> DataFrame:
@@ -209,30 +215,43 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _sides(group: pa.Table) -> tuple[list[np.ndarray], list[CountTree]]:
-    """Row numbers and trees of a group's two sides; no trees if a side is empty."""
-    rows = [np.flatnonzero(group.column(side).to_numpy()) for side in ("left", "right")]
-    if not len(rows[0]) or not len(rows[1]):
-        return rows, []
-    points, n = np.stack([counts_from(p) for p in group.column("points").to_pylist()]), group.column("n").to_numpy()
-    trees = [CountTree(points[r], n[r]) for r in rows[: 1 if group.column("x")[0] == group.column("y")[0] else 2]]
-    return rows, [trees[0], trees[-1]]
+def _candidates(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers (left, right) of a group that trees over count vectors let through. Vectors of
+    different length are joined after folding the longer; only those next in length can be near."""
+    sides = [np.flatnonzero(group.column(side).to_numpy()) for side in ("left", "right")]
+    points, n = group.column("points").to_pylist(), group.column("n").to_numpy()
+    length = np.array([len(p) // 2 for p in points])
+
+    def tree(rows: np.ndarray, groups: int) -> CountTree:
+        folded = [np.frombuffer(points[r], np.uint16).astype(np.int32).reshape(groups, -1).sum(axis=1) for r in rows]
+        return CountTree(np.stack(folded), n[rows])
+
+    for one in np.unique(length[sides[0]]):
+        for other in np.unique(length[sides[1]]):
+            rows = [sides[0][length[sides[0]] == one], sides[1][length[sides[1]] == other]]
+            if one != other:  # only sizes that can be near at all
+                lows, highs = [n[r].min() for r in rows], [n[r].max() for r in rows]
+                rows = [r[(100 * n[r] >= PERCENT * lows[1 - k]) & (PERCENT * n[r] <= 100 * highs[1 - k])] for k, r in enumerate(rows)]
+                if not len(rows[0]) or not len(rows[1]):
+                    continue
+            groups = int(min(one, other))
+            first = tree(rows[0], groups)
+            second = first if one == other and np.array_equal(rows[0], rows[1]) else tree(rows[1], groups)
+            for i, j in first.candidates(second):
+                yield rows[0][i], rows[1][j]
 
 
 def _hopeful(group: pa.Table) -> pa.Table:
-    """The sets of a group that the tree pairs with another set."""
-    (left, right), trees = _sides(group)
+    """The sets of a group that the trees pair with another set."""
     keys, found = group.column("k1").to_numpy(), np.zeros(group.num_rows, bool)
-    for i, j in trees[0].candidates(trees[1]) if trees else ():
-        a, b = left[i], right[j]
-        other = keys[a] != keys[b]
-        found[a[other]] = found[b[other]] = True
+    for i, j in _candidates(group):
+        other = keys[i] != keys[j]
+        found[i[other]] = found[j[other]] = True
     return group.filter(pa.array(found))
 
 
 def _join_bucket(group: pa.Table) -> pa.Table:
     """A spanning set of the links between the two sides of a group (within it, if they are one)."""
-    (left, right), trees = _sides(group)
     keys, sets = group.column("k1").to_pylist(), [np.frombuffer(e, np.uint64) for e in group.column("elements").to_pylist()]
     top, out = {k: k for k in keys}, []
 
@@ -242,8 +261,8 @@ def _join_bucket(group: pa.Table) -> pa.Table:
             x = top[x]
         return x
 
-    for rows, others in trees[0].candidates(trees[1]) if trees else ():
-        for i, j in zip(left[rows].tolist(), right[others].tolist(), strict=True):
+    for rows, others in _candidates(group):
+        for i, j in zip(rows.tolist(), others.tolist(), strict=True):
             a, b = root(keys[i]), root(keys[j])
             if a != b and linked(sets[i], sets[j]):
                 top[max(a, b)] = min(a, b)
@@ -274,10 +293,10 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     common = spark.sparkContext.broadcast((values[place], ranks[place]))  # COMMON entries at most
 
     keyed = rows.filter("id is not null")
-    rare = _prefixes(keyed, seed, common, False)
+    prefixes = materialize(_prefixes(keyed, seed, common), "jaccard-prefixes")
     w = Window.partitionBy("s")
-    rare = rare.select("k1", F.min("k1").over(w).alias("bucket"), F.max("k1").over(w).alias("last")).filter("bucket < last").select("bucket", "k1")
-    hot = materialize(_prefixes(keyed, seed, common, True), "jaccard-common")
+    rare = prefixes.filter("not often").select("s", "k1").select("k1", F.min("k1").over(w).alias("bucket"), F.max("k1").over(w).alias("last")).filter("bucket < last").select("bucket", "k1")
+    hot = prefixes.filter("often").select("s", "k1")
     first = hot.groupBy("s").agg(F.min("k1").alias("bucket"), F.max("k1").alias("last")).filter("bucket < last").select("s", "bucket")
     hot = hot.join(F.broadcast(first), "s").select("bucket", "k1")  # a row for each common shingle at most
     members = materialize(rare.unionByName(hot).distinct(), "jaccard-buckets")
