@@ -119,34 +119,42 @@ def _error(code: str, detail: Column | str | None = None) -> Column:
 
 
 def _reference_error(ref: Column) -> Column:
-    body = F.substring(ref, F.lit(2), F.char_length(ref) - 2)
-    digits = F.regexp_replace(ref, r"\A&#x?|;\z", "")
+    """What is wrong with a reference that stands for nothing."""
     return (
         F.when(~ref.startswith("&#") & ~ref.rlike(rf"\A&[{chars.NAME_START}]"), _error("IllegalNameStartChar", F.substring(ref, F.lit(2), F.lit(1))))
         .when(~ref.endswith(";"), _error("ExpectToken", ";"))
-        .when(ref.startswith("&#") & escape.resolve(ref).isNull(), _error("InvalidCharacterReference", digits))
-        .when(escape.resolve(ref).isNull(), _error("UnknownEntity", body))
+        .when(ref.startswith("&#"), _error("InvalidCharacterReference", F.regexp_replace(ref, r"\A&#x?|;\z", "")))
+        .otherwise(_error("UnknownEntity", F.substring(ref, F.lit(2), F.char_length(ref) - 2)))
     )
 
 
-def _tag_error(tag: Column) -> Column:
-    name = tag_name(tag)
-    rest = F.regexp_replace(tag, r"\A<[^\s/>]+", "")
+def _looked_at(rows: DataFrame) -> DataFrame:
+    """Columns that several checks read, each computed once: _rest, a start tag behind its name; _left, what
+    follows its well-formed attributes; _repeated, an attribute name that comes twice; _unknown, a reference
+    in a token that stands for nothing."""
+    tag = F.col("kind") == "STAG"
     attr = rf"\s+{_NAME}\s*=\s*(?:\"[^\"<]*\"|'[^'<]*')"
-    names = F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.regexp_extract(a, r"\A[^\s=]+", 0))
-    repeated = F.get(F.filter(names, lambda n, i: F.array_position(names, n) <= i), 0)
-    values = F.array_join(F.regexp_extract_all(rest, F.lit(_VALUE), F.lit(0)), "")
-    unknown = escape.unknown_reference(values)
-    well = rest.rlike(rf"\A(?:{attr})*\s*/?>\z")
+    rows = rows.withColumn("_rest", F.when(tag, F.regexp_replace("token", r"\A<[^\s/>]+", "")))
+    names = F.transform(F.regexp_extract_all("_rest", F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.regexp_extract(a, r"\A[^\s=]+", 0))
+    values = F.array_join(F.regexp_extract_all("_rest", F.lit(_VALUE), F.lit(0)), "")
+    rows = rows.withColumns({"_left": F.regexp_replace("_rest", rf"\A(?:{attr})*+", ""), "_names": F.when(F.col("_rest").contains("="), names), "_values": F.when(F.col("_rest").contains("&"), values)})
+    repeated = F.get(F.array_except(F.transform("_names", lambda n, i: F.when(F.array_position(F.col("_names"), n) <= i, n)), F.array(F.lit(None).cast("string"))), 0)
+    alone = F.when((F.col("kind") == "CHARACTERS") & F.col("token").startswith("&"), F.col("token"))
+    return rows.withColumns({"_repeated": repeated, "_unknown": escape.unknown_reference(F.coalesce("_values", alone))}).drop("_names", "_values")
+
+
+def _tag_error(tag: Column) -> Column:
+    name, left = tag_name(tag), F.col("_left")
+    well = left.rlike(r"\A\s*/?>\z")
     return (
         F.when(~name.rlike(rf"\A[{chars.NAME_START}]"), _error("IllegalNameStartChar", F.substring(name, F.lit(1), F.lit(1))))
         .when(~chars.is_name(name), _error("IllegalName", name))
-        .when(~well & F.regexp_replace(rest, rf"\A(?:{attr})*", "").rlike(rf"\A\s+{_NAME}\s*=\s*[\"'][^\"']*<"), _error("IllegalAttributeValue"))
-        .when(~well & F.regexp_replace(rest, rf"\A(?:{attr})*", "").rlike(rf"\A\s+{_NAME}\s*=\s*[^\"']"), _error("ExpectToken", "quote or single quote"))
-        .when(~well & F.regexp_replace(rest, rf"\A(?:{attr})*", "").rlike(rf"\A\s+{_NAME}\s*(?:[^=\s]|\s)"), _error("ExpectToken", "="))
+        .when(~well & left.rlike(rf"\A\s+{_NAME}\s*=\s*[\"'][^\"']*<"), _error("IllegalAttributeValue"))
+        .when(~well & left.rlike(rf"\A\s+{_NAME}\s*=\s*[^\"']"), _error("ExpectToken", "quote or single quote"))
+        .when(~well & left.rlike(rf"\A\s+{_NAME}\s*(?:[^=\s]|\s)"), _error("ExpectToken", "="))
         .when(~well, _error("ExpectToken", ">"))
-        .when(repeated.isNotNull(), _error("NonUniqueAttribute", repeated))
-        .when(unknown.isNotNull(), _reference_error(unknown))
+        .when(F.col("_repeated").isNotNull(), _error("NonUniqueAttribute", F.col("_repeated")))
+        .when(F.col("_unknown").isNotNull(), _reference_error(F.col("_unknown")))
     )
 
 
@@ -164,11 +172,11 @@ def _bad_error(token: Column, after: Column) -> Column:
 
 
 def token_error(kind: Column, token: Column, after: Column, dialect: str) -> Column:
-    """struct<code, detail> of what is wrong within a token, or null."""
+    """struct<code, detail> of what is wrong within a token of `_looked_at` rows, or null."""
     inner = F.substring(token, F.lit(5), F.char_length(token) - 7)
     target = F.regexp_extract(token, r"\A<\?([^\s?]*)", 1)
     invalid = chars.first_invalid(token)["char"]
-    text = F.when(token.startswith("&"), _reference_error(token)).when(invalid.isNotNull(), _error("InvalidCharacter", invalid))
+    text = F.when(F.col("_unknown").isNotNull(), _reference_error(F.col("_unknown"))).when(token.startswith("&"), None).when(invalid.isNotNull(), _error("InvalidCharacter", invalid))
     if dialect != "full":
         text = text.when(~token.startswith("<") & token.contains("]]>"), _error("IllegalCDataSectionEnd"))
     checks = (
@@ -217,7 +225,7 @@ def check(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dialect:
         .when(F.col("depth") == 0, outside)
     )
     error = F.coalesce(F.when((F.col("depth") == 0) & (F.col("kind") == "CHARACTERS"), structure), token_error(F.col("kind"), F.col("token"), F.col("_after"), dialect), structure)
-    rows = rows.withColumn("_error", error)
+    rows = _looked_at(rows).withColumn("_error", error)
     wrong = F.when(F.col("_error").isNotNull(), F.struct("_error.code", "_error.detail", F.col("start_offset").alias("offset")))
     last = F.max_by(F.struct("kind", "empty", "depth", "end_offset", "token"), "pos")
     found = rows.groupBy("doc_id").agg(F.min_by(wrong, F.when(wrong.isNotNull(), F.col("pos"))).alias("wrong"), last.alias("last"))
