@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(both, smaller=False)
         small = _stars(large, smaller=True)
-        now = materialize(small, "edges")
+        old, now = now, materialize(small, "edges")
+        discard(old)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 EDITS, LEAST = 2, 32
 #: Hashes of near lines, or drops, up to which a table is broadcast instead of the texts' being shuffled.
@@ -145,7 +145,7 @@ def within(a: Column, b: Column) -> Column:
 
 
 def _near_drops(docs: DataFrame) -> DataFrame:
-    """(id, h): lines that are near an earlier one. docs (id, text, and counts, the letter counts of the
+    """(id, h), written: lines that are near an earlier one. docs (id, text, and counts, the letter counts of the
     lines) must be exactly deduplicated and written."""
     each = F.explode(F.arrays_zip(_lines().alias("line"), F.col("counts").alias("c"))).alias("x")
     lines = docs.select("id", each).select("id", "x.line", "x.c").withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
@@ -164,7 +164,10 @@ def _near_drops(docs: DataFrame) -> DataFrame:
     both = pairs.join(a, "h").join(b, "p").filter("la <> lb")
     near = both.filter(bound(F.struct(characters(F.col("la")).alias("a"), characters(F.col("lb")).alias("b")), lambda z: within(z["a"], z["b"])))
     order = lambda i, line: F.struct(F.col(i), F.char_length(line), F.col(line))
-    return near.select(F.when(order("ia", "la") < order("ib", "lb"), F.struct(F.col("ib").alias("id"), F.col("p").alias("h"))).otherwise(F.struct(F.col("ia").alias("id"), F.col("h").alias("h"))).alias("x")).select("x.id", "x.h").distinct()
+    drops = near.select(F.when(order("ia", "la") < order("ib", "lb"), F.struct(F.col("ib").alias("id"), F.col("p").alias("h"))).otherwise(F.struct(F.col("ia").alias("id"), F.col("h").alias("h"))).alias("x")).select("x.id", "x.h").distinct()
+    drops = materialize(drops, "line-near")
+    discard(pairs, met, texts)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +179,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     rows = rows.withColumn("_n_lines", F.when(F.col("text").isNotNull(), F.size(_lines())).otherwise(0))
     once = _drop_lines(rows, _exact_drops(rows.select("id", "text")), few=False)
     once = materialize(once.withColumn("_counts", F.transform(_lines(), letter_counts)), "line-exact")
-    near = materialize(_near_drops(once.select("id", "text", F.col("_counts").alias("counts"))), "line-near")
+    near = _near_drops(once.select("id", "text", F.col("_counts").alias("counts")))
     out = _drop_lines(once.drop("_counts"), near, few=near.limit(FEW + 1).count() <= FEW)
     kept = F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.size(_lines())).otherwise(F.when(F.col("text").isNull(), 0).otherwise(F.least(F.col("_n_lines"), F.lit(1))))
     named = [F.col("_own_id").alias(c) if c == id_column else F.col("text").alias(c) if c == text else F.col(f"_in_{c}").alias(c) for c in docs.columns]

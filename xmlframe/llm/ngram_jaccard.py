@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import discard, materialize, slices
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -300,6 +300,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     first = hot.groupBy("s").agg(F.min("k1").alias("bucket"), F.max("k1").alias("last")).filter("bucket < last").select("s", "bucket")
     hot = hot.join(F.broadcast(first), "s").select("bucket", "k1")  # a row for each common shingle at most
     members = materialize(rare.unionByName(hot).distinct(), "jaccard-buckets")
+    discard(prefixes)
 
     large = materialize(members.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "jaccard-large")
     cut = members.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -318,6 +319,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     elements = materialize(_elements(keyed.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), seed), "jaccard-elements")
     groups = hopeful.join(elements, "k1").groupBy("bucket", "x", "y").applyInArrow(_join_bucket, "a long, b long")
     links = materialize(groups, "jaccard-links")
+    discard(members, large, hopeful, wanted, elements)
     rep = sets.select("k1", "rep")
     edges = links.join(rep.select(F.col("k1").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("k1").alias("b"), F.col("rep").alias("rb")), "b")
     return _answer(info, sets, edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
