@@ -17,13 +17,12 @@ aggregated before they are joined, and the join back is one that Spark can split
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import bound, discard, materialize
 
 EDITS, LEAST = 2, 32
 #: Hashes of near lines, or drops, up to which a table is broadcast instead of the texts' being shuffled.
@@ -39,12 +38,6 @@ def _lines(text: str = "text") -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once for a row: a plain column that lambdas refer to may be
-    computed again for each element."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _without(lines: Column, drops: Column) -> Column:
     """The lines that stay. In the order of hash and place, with a drop before the lines it names, a line
     stays if it begins its group."""

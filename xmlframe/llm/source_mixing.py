@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_array
+from .common import bound, materialize, word_array
 
 #: Words in a shard and rows in a shard, on average; children of a node in the tree of shards.
 SHARD_WORDS, SHARD_ROWS, FAN = 65_536, 256, 256
@@ -108,7 +108,8 @@ def mix_texts(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
     mixed = mix_sized(whole.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row_id")), weights, share, most, block, seed)
     rows = whole.join(mixed.select(F.col("row_id").alias("_row"), "passes", "picks"), "_row")
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("picks", lambda p: F.slice(words, p["from"].cast("int") + 1, (p["to"] - p["from"]).cast("int")))), "")
+    cut = lambda w: F.flatten(F.transform("picks", lambda p: F.slice(w, p["from"].cast("int") + 1, (p["to"] - p["from"]).cast("int"))))
+    part = F.array_join(bound(words, cut), "")
     texts = F.concat(
         F.array_repeat(F.col("text"), F.when(F.col("_size") > 0, F.col("passes")).otherwise(1)),
         F.when(F.size("picks") > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
