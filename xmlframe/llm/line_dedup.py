@@ -170,11 +170,13 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     taken = {id_column, text}
     rows = docs.select(F.coalesce(F.col(id_column), F.lit(LAST_ID)).cast("long").alias("id"), F.col(text).alias("text"), F.col(id_column).alias("_own_id"), *[F.col(c).alias(f"_in_{c}") for c in docs.columns if c not in taken])
     rows = rows.withColumn("_n_lines", F.when(F.col("text").isNotNull(), F.size(_lines())).otherwise(0))
+    # Tells an empty text of which one blank line is left from one of which nothing is.
+    rows = rows.withColumn("_has_blank", F.col("text").rlike(r"(?:^|\n)[ \t\r\x0b\x0c]*(?:\n|\z)"))
     once = _drop_lines(rows, _exact_drops(rows.select("id", "text")), few=False)
     once = materialize(once.withColumn("_counts", F.transform(_lines(), letter_counts)), "line-exact")
     near = _near_drops(once.select("id", "text", F.col("_counts").alias("counts")))
     out = _drop_lines(once.drop("_counts"), near, few=near.limit(FEW + 1).count() <= FEW)
-    kept = F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.size(_lines())).otherwise(F.when(F.col("text").isNull(), 0).otherwise(F.least(F.col("_n_lines"), F.lit(1))))
+    kept = F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.size(_lines())).otherwise(F.when(F.col("text").isNull(), 0).otherwise(F.col("_has_blank").cast("int")))
     named = [F.col("_own_id").alias(c) if c == id_column else F.col("text").alias(c) if c == text else F.col(f"_in_{c}").alias(c) for c in docs.columns]
     return out.select(*named, "_n_lines", kept.alias("_n_kept"))
 
