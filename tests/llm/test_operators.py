@@ -266,6 +266,14 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language_kernel.language_of_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    same, words = "so " * 10_000, {"aa": "bread butter window", "bb": "kigo plyx zhuv"}
+    docs = spark.createDataFrame([(k, same + words[lang], lang) for k in range(40) for lang in words], "doc_id long, text string, lang string")
+    model = language_kernel.fit(docs)
+    got = rows(language_kernel.identify(docs, model).select("lang", "lang_pred"))
+    assert len(got) == 80 and all(a == b for a, b in got)
+
+
 # 8. Lines ---------------------------------------------------------------------------------------
 
 
