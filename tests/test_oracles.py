@@ -22,3 +22,11 @@ def test_query(spark, con, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_positions_are_of_whole_texts(spark, sf_dir):
+    at = entry.queries()["pos_02_whole_text"](spark, sf_dir)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for doc_id, line, col, middle_line, middle_col in at.collect():
+        for text, found in ((texts[doc_id], (line, col)), (texts[doc_id][: len(texts[doc_id]) // 2], (middle_line, middle_col))):
+            assert found == (text.count("\n") + 1, len(text) - text.rfind("\n")), doc_id

@@ -140,6 +140,14 @@ def pos_01_line_column(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", at["line"].alias("line"), at["column"].alias("col"))
 
 
+@query("WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS a, string_split(regexp_replace(left(text, length(text) // 2), '\\r\\n?', chr(10), 'g'), chr(10)) AS m FROM documents) SELECT doc_id, len(a)::INT AS line, (length(a[-1]) + 1)::INT AS col, len(m)::INT AS middle_line, (length(m[-1]) + 1)::INT AS middle_col FROM d")
+def pos_02_whole_text(spark, sf_dir):
+    """The ends and the middles of whole texts."""
+    end = chars.line_column(F.col("text"), F.octet_length("text"))
+    middle = chars.line_column(F.col("text"), F.octet_length(F.left("text", F.floor(F.char_length("text") / 2).cast("int"))))
+    return t(spark, sf_dir, "documents").select("doc_id", end["line"].alias("line"), end["column"].alias("col"), middle["line"].alias("middle_line"), middle["column"].alias("middle_col"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(text) > 9 THEN 9 WHEN doc_id % 2 = 0 THEN length(text) END::INT AS at FROM documents")
 def diff_01_first_difference(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
