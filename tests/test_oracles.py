@@ -30,3 +30,11 @@ def test_positions_are_of_whole_texts(spark, sf_dir):
     for doc_id, line, col, middle_line, middle_col in at.collect():
         for text, found in ((texts[doc_id], (line, col)), (texts[doc_id][: len(texts[doc_id]) // 2], (middle_line, middle_col))):
             assert found == (text.count("\n") + 1, len(text) - text.rfind("\n")), doc_id
+
+
+def test_differences_and_invalid_characters_are_found_in_whole_texts(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for doc_id, at_end, at_middle, same in entry.queries()["diff_02_whole_text"](spark, sf_dir).collect():
+        assert (at_end, at_middle, same) == (len(texts[doc_id]), len(texts[doc_id]) // 2, True), doc_id
+    for doc_id, at, code, valid in entry.queries()["chr_11_whole_text"](spark, sf_dir).collect():
+        assert (at, code, valid) == (len(texts[doc_id].encode()), 1, True), doc_id

@@ -123,6 +123,13 @@ def chr_09_first_invalid(spark, sf_dir):
     return d.select("doc_id", x["offset"].alias("at"), escape.code_point(x["char"]).cast("int").alias("code"))
 
 
+@query("SELECT doc_id, octet_length(encode(text)) AS at, 1 AS code, true AS valid FROM documents")
+def chr_11_whole_text(spark, sf_dir):
+    """An invalid character behind each whole text, and none in the text itself."""
+    x = chars.first_invalid(F.concat("text", F.lit("\x01tail")))
+    return t(spark, sf_dir, "documents").select("doc_id", x["offset"].alias("at"), escape.code_point(x["char"]).cast("int").alias("code"), chars.first_invalid(F.col("text")).isNull().alias("valid"))
+
+
 @query("SELECT n_nationkey % 4 = 0 AS blank, count(*) AS n FROM nation GROUP BY ALL")
 def chr_10_only_space(spark, sf_dir):
     text = F.when(F.col("n_nationkey") % 4 == 0, " \t\r\n").otherwise(F.concat(F.lit(" "), F.col("n_name")))
@@ -156,6 +163,16 @@ def diff_01_first_difference(spark, sf_dir):
     return d.select("doc_id", chars.first_difference(first, other).cast("int").alias("at"))
 
 
+@query("SELECT doc_id, length(text)::INT AS at_end, (length(text) // 2)::INT AS at_middle, true AS same FROM documents")
+def diff_02_whole_text(spark, sf_dir):
+    """Each whole text against itself, itself with a mark behind it, and itself with a mark in its middle."""
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    middle = F.concat(F.left("text", half), F.lit("\x02"), F.substring("text", half + 2, F.char_length("text")))
+    at = {"at_end": F.concat("text", F.lit("\x02")), "at_middle": middle}
+    found = [chars.first_difference(F.col("text"), other).cast("int").alias(k) for k, other in at.items()]
+    return t(spark, sf_dir, "documents").select("doc_id", *found, chars.first_difference(F.col("text"), F.col("text")).isNull().alias("same"))
+
+
 # ------------------------------------------------------------------ escaping and references
 
 _FIVE = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;')"
