@@ -274,6 +274,13 @@ def test_language_is_learned_from_whole_texts(spark):
     assert len(got) == 80 and all(a == b for a, b in got)
 
 
+def test_all_languages_are_learned(spark):
+    ids = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 3 != 1][:780]
+    docs = spark.createDataFrame([(i, f"text {k}", f"l{k % 260}") for k, i in enumerate(ids)], "doc_id long, text string, lang string")
+    found = language_kernel.fit_rows(docs, 300)
+    assert found.columns == docs.columns and found.select("lang").distinct().count() == 260 and found.count() <= 560
+
+
 # 8. Lines ---------------------------------------------------------------------------------------
 
 

@@ -35,3 +35,8 @@ def test_stages_take_an_empty_table(spark, none):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0, name
     assert public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_documents_stay_if_no_language_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "...", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.language(spark, docs, "").collect()] == [(1, "some words", "und")]

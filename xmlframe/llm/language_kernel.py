@@ -80,14 +80,16 @@ class Model:
 def fit_rows(docs: DataFrame, rows: int = FIT_ROWS, held_out: int = 1, folds: int = 3) -> DataFrame:
     """About `rows` rows to learn from, by a hash of the id: text and language known, a letter in the
     text, crc32 of the id modulo `folds` not `held_out`. Rare languages keep more of their rows: each
-    language has an equal part of the bound."""
+    language has an equal part of the bound, and one row at least."""
     known = docs.filter((id_remainder("doc_id", folds) != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows // 20).collect()}
+    order = F.xxhash64("doc_id", F.lit(7), "text")
+    counts = known.groupBy("lang").agg(F.count("*"), F.min(order)).collect()
     if not counts:
         return known.limit(0)
     each = rows / len(counts)
-    keep = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])[F.col("lang")]
-    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < keep * (1 << 20))
+    parts = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n), first) for lang, n, first in counts], "lang string, _keep double, _first long")
+    chosen = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.col("_keep") * (1 << 20)) | (order == F.col("_first"))
+    return known.join(F.broadcast(parts), "lang").filter(chosen).select(*docs.columns)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
