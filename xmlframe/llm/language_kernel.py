@@ -5,8 +5,12 @@ folded. Nyström landmarks turn it into features: the kernel values against the
 inverse root of the landmarks' own kernel matrix. One ridge regression for each language, fitted on these
 features, separates it from the rest; the largest output names the language.
 
-Whole texts are scored in blocks: the n-gram sets of a block are a 0/1 matrix, and scoring is a product
+Whole texts are scored in blocks. Of a text's n-grams only their number and those that a landmark has
+matter to its kernel values: a block is a 0/1 matrix over the landmarks' n-grams, and scoring is a product
 with the landmarks' matrix and one with the regression's weights.
+
+Learning reads whole texts in tasks. The driver gets the landmarks' n-grams and one row of kernel values for
+each text learned from, so it holds FIT_ROWS x LANDMARKS numbers, however long the texts are.
 """
 
 from __future__ import annotations
@@ -16,34 +20,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, slices, strings
+from .common import discard, id_remainder, materialize, slices, strings
 
-#: N-gram lengths; columns that n-grams are hashed into; landmarks; ridge; labelled rows to fit on, at most about.
-LENGTHS, COLUMNS, LANDMARKS, RIDGE, FIT_ROWS = (1, 2, 3), 1 << 13, 96, 1e-2, 4_000
+#: N-gram lengths; values that n-grams are hashed to; landmarks, and the least number for each language; ridge;
+#: labelled rows to fit on, at most about.
+LENGTHS, COLUMNS, LANDMARKS, EACH, RIDGE, FIT_ROWS = (1, 2, 3), 1 << 18, 96, 4, 1e-2, 4_000
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
-
-
-def presence(texts: list[str]) -> np.ndarray:
-    """The 0/1 matrix (float32) of the hashed n-grams of whole texts. N-grams do not cross texts, and
-    runs of characters that are not letters count as one space."""
-    out = np.zeros((len(texts), COLUMNS), np.float32)
-    for row, text in enumerate(texts):
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        if not len(codes):
-            continue
-        letter = _letters(codes)
-        codes = np.where(letter, codes, 32)
-        codes = np.concatenate([[32], codes[letter | np.concatenate([[True], letter[:-1]])], [32]]).astype(np.uint64)
-        for n in LENGTHS:
-            h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
-            for k in range(n):
-                h = (h + codes[k : k + len(h)]) * np.uint64(MULTIPLIERS[k]) & np.uint64(0xFFFFFFFF)
-            h ^= h >> np.uint64(15)
-            h = (h * np.uint64(MULTIPLIERS[n - 1])) & np.uint64(0xFFFFFFFF)
-            out[row, (h >> np.uint64(16)) % COLUMNS] = 1
+#: Entries of a block's matrix.
+BLOCK = 1 << 21
+
+
+class Marks:
+    """Marks the hashed n-grams of one text after the other in an array of COLUMNS places."""
+
+    def __init__(self):
+        self.seen = np.zeros(COLUMNS, bool)
+
+    def of(self, text: str, columns: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+        """The number of n-grams of a whole text and which of the columns they hit; without columns, all that
+        they hit. N-grams do not cross texts, and runs of characters that are not letters count as one space."""
+        places = _places(text)
+        for h in places:
+            self.seen[h] = True
+        n = int(np.count_nonzero(self.seen))
+        found = np.flatnonzero(self.seen) if columns is None else self.seen[columns]
+        for h in places:
+            self.seen[h] = False
+        return n, found
+
+
+def _places(text: str) -> list[np.ndarray]:
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    if not len(codes):
+        return []
+    letter = _letters(codes)
+    codes = np.where(letter, codes, 32)
+    codes = np.concatenate([[32], codes[letter | np.concatenate([[True], letter[:-1]])], [32]]).astype(np.uint64)
+    out = []
+    for n in LENGTHS:
+        h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+        for k in range(n):
+            h = (h + codes[k : k + len(h)]) * np.uint64(MULTIPLIERS[k]) & np.uint64(0xFFFFFFFF)
+        h ^= h >> np.uint64(15)
+        h = (h * np.uint64(MULTIPLIERS[n - 1])) & np.uint64(0xFFFFFFFF)
+        out.append(((h >> np.uint64(8)) % COLUMNS).astype(np.int64))
     return out
 
 
@@ -62,19 +85,41 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def _units(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+@dataclass
+class Landmarks:
+    columns: np.ndarray  # the n-grams that a landmark has
+    matrix: np.ndarray  # columns x landmarks: 1 / root of the landmark's number of n-grams, where it has the n-gram
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Landmarks:
+        columns = np.unique(np.concatenate(sets))
+        matrix = np.zeros((len(columns), len(sets)), np.float32)
+        for k, s in enumerate(sets):
+            matrix[np.searchsorted(columns, s), k] = 1 / np.sqrt(len(s))
+        return cls(columns, matrix)
+
+    def kernel(self, texts: list[str], marks: Marks) -> np.ndarray:
+        """The kernel values of whole texts against the landmarks, a block of texts at a time."""
+        out, step = [], max(1, BLOCK // len(self.columns))
+        for at in range(0, len(texts), step):
+            block = texts[at : at + step]
+            x, n = np.zeros((len(block), len(self.columns)), np.float32), np.ones((len(block), 1), np.float32)
+            for row, text in enumerate(block):
+                count, x[row] = marks.of(text, self.columns)
+                n[row] = max(1, count)
+            out.append((x @ self.matrix) / np.sqrt(n))
+        return np.concatenate(out) if out else np.zeros((0, self.matrix.shape[1]), np.float32)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray  # landmarks x columns, rows of unit length
+    landmarks: Landmarks
     weights: np.ndarray  # landmarks x languages: inverse root times ridge weights
     offset: np.ndarray
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return (_units(presence(texts)) @ self.landmarks.T) @ self.weights + self.offset
+    def scores(self, texts: list[str], marks: Marks) -> np.ndarray:
+        return self.landmarks.kernel(texts, marks) @ self.weights + self.offset
 
 
 def fit_rows(docs: DataFrame, rows: int = FIT_ROWS, held_out: int = 1, folds: int = 3) -> DataFrame:
@@ -92,48 +137,64 @@ def fit_rows(docs: DataFrame, rows: int = FIT_ROWS, held_out: int = 1, folds: in
     return known.join(F.broadcast(parts), "lang").filter(chosen).select(*docs.columns)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of `presence` of whole texts, eight columns to a byte: 1 KB a row, whatever the text's length."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of whole texts, beside the texts."""
+    marks = Marks()
     for part in slices(batches, "text", rows=128):
-        packed = np.packbits(presence(strings(part.column(2))).astype(bool), axis=1)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], ["h", "lang", "bits"])
+        found = [marks.of(t or "")[1].astype(np.int32).tobytes() for t in strings(part.column(2))]
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], ["h", "lang", "text", "grams"])
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """Learn from the whole texts of `fit_rows`. Tasks read the texts; the driver gets their n-gram sets, so
-    that the bound on the rows bounds it too. None if there is nothing to learn from."""
+    """Learn from the whole texts of `fit_rows`. Landmarks are the same number of rows of each language, first
+    in the hash order of the ids. None if there is nothing to learn from."""
+    spark = docs.sparkSession
     sample = fit_rows(docs, rows).select(F.xxhash64("doc_id").alias("h"), "lang", "text")
-    found = sorted(tuple(r) for r in sample.mapInArrow(_bits, "h long, lang string, bits binary").collect())
-    if not found:
+    sample = materialize(sample.mapInArrow(_sets, "h long, lang string, text string, grams binary"), "language-sample")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "grams"))  # of about FIT_ROWS rows in all
+    n_languages = max(1, sample.select("lang").distinct().count())
+    chosen = sample.select("lang", "h", "grams").withColumn("place", place).filter(F.col("place") <= max(EACH, LANDMARKS // n_languages))
+    chosen = [np.frombuffer(r["grams"], np.int32) for r in chosen.orderBy("lang", "place").collect()]
+    if not chosen:
+        discard(sample)
         return None
+    landmarks = Landmarks.of(chosen)
+    shared = spark.sparkContext.broadcast(landmarks)  # the n-grams of the landmarks, whatever the input
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks()
+        for part in slices(batches, "text", rows=128):
+            k = shared.value.kernel([t or "" for t in strings(part.column(2))], marks)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in k], pa.binary())], ["h", "lang", "k"])
+
+    found = sorted(tuple(r) for r in sample.select("h", "lang", "text").mapInArrow(values, "h long, lang string, k binary").collect())
+    discard(sample)
     languages = sorted({lang for _, lang, _ in found})
-    x = _units(np.unpackbits(np.frombuffer(b"".join(bits for _, _, bits in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32))
+    x = np.frombuffer(b"".join(k for _, _, k in found), np.float32).reshape(len(found), -1).astype(np.float64)
     y = np.array([languages.index(lang) for _, lang, _ in found])
-    # Landmarks: the same number of each language, in the hash order of the rows.
-    places = [np.flatnonzero(y == k)[: max(1, LANDMARKS // len(languages))] for k in range(len(languages))]
-    marks = x[np.concatenate(places)]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    root = vectors * (1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    z = (x @ marks.T).astype(np.float64) @ root
+    eigenvalues, vectors = np.linalg.eigh(landmarks.matrix.T.astype(np.float64) @ landmarks.matrix)
+    root = vectors * (1 / np.sqrt(np.maximum(eigenvalues, 1e-6))) @ vectors.T
+    z = x @ root
     mean, goal = z.mean(axis=0), np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = np.bincount(y, minlength=len(languages))
     heavy = (len(y) / (len(languages) * share))[y][:, None]  # languages weigh the same
     w = np.linalg.solve((z - mean).T @ ((z - mean) * heavy) + RIDGE * len(y) * np.eye(z.shape[1]) / z.shape[1], (z - mean).T @ ((goal - goal.mean(axis=0)) * heavy))
-    return Model(languages, marks, (root @ w).astype(np.float32), (goal.mean(axis=0) - mean @ w).astype(np.float32))
+    return Model(languages, landmarks, (root @ w).astype(np.float32), (goal.mean(axis=0) - mean @ w).astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the language of each whole text and a score from 0 to 1. Null texts, texts without a letter and
     all texts if there is no model are `und` with score 0. Columns of docs stay."""
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
+    at = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, marks = shared.value, Marks()
         for part in slices(batches, text, rows=128):
-            texts = strings(part.column(names.index(text)))
+            texts = strings(part.column(at))
             lang, sure = ["und"] * len(texts), [0.0] * len(texts)
             if m and (real := [k for k, t in enumerate(texts) if t and has_letter(t)]):
-                s = m.scores([texts[k] for k in real]).astype(np.float64)
+                s = m.scores([texts[k] for k in real], marks).astype(np.float64)
                 p = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
                 p /= p.sum(axis=1, keepdims=True)
                 for k, best, row in zip(real, s.argmax(axis=1), p, strict=True):
