@@ -118,6 +118,52 @@ def test_records(spark):
         codec.encode(people, "b", "b")
 
 
+def test_strict_records(spark):
+    kind = "struct<`@a`:int,`@b`:boolean,x:boolean,y:array<int>,z:struct<w:boolean>>"
+    cases = [
+        ("<r a='1' b='true'><x>yes</x><y>1</y><y>2</y><z><w>on</w></z></r>", (1, True, True, [1, 2], (True,)), None),
+        ("<!-- é --><r a='q'><x>true</x></r>", None, ("Int", "q", 11, "@a")),
+        ("<r b='on'/>", None, ("InvalidBoolean", "on", 0, "@b")),
+        ("<r>é<x>maybe</x></r>", None, ("InvalidBoolean", "maybe", 5, "x")),
+        ("<r><y>1</y><x>1</x><y>2</y></r>", None, ("EndOfArrayExpected", None, 19, "y")),
+        ("<r><x>1</x><x>0</x></r>", None, ("EndOfArrayExpected", None, 11, "x")),
+        ("<r><y>1<b/></y></r>", None, ("NoMarkupExpected", None, 3, "y")),
+        ("<q/>", None, ("RootStruct", "q", 0, None)),
+        ("<r><x>1</x>", None, ("OpenElementAtEof", None, 11, None)),
+        ("<r/>", (None, None, None, None, None), None),
+        (None, None, None),
+    ]
+    plain = lambda v: None if v is None else tuple(plain(x) if isinstance(x, tuple) else x for x in v)
+    got = docs(spark, *[c[0] for c in cases]).select("doc_id", codec.decode_strict(F.col("text"), kind, "r").alias("d")).collect()
+    for r in got:
+        text, value, error = cases[r["doc_id"]]
+        assert (plain(r["d"]["value"]), plain(r["d"]["error"])) == (value, error), text
+    texts = ["<e><A>x</A></e>", "<e> B </e>", "<A>1</A>", "<e><C/></e>", "<e>Q</e>", "<B/>", None]
+    got = {r["doc_id"]: plain(r["c"]) for r in docs(spark, *texts).select("doc_id", codec.choice(F.col("text"), ["A", "B"]).alias("c")).collect()}
+    assert got == {0: ("A", "x"), 1: ("B", None), 2: ("A", "1"), 3: None, 4: None, 5: ("B", ""), 6: None}
+
+
+def test_nested_messages(spark):
+    member = lambda name, value: f"<member><name>{name}</name><value>{value}</value></member>"
+    calls = [
+        f"<methodCall><methodName>f</methodName><params><param><value><struct>{member('a', '<i4>1</i4>')}{member('b', '<array><data><value>2</value></data></array>')}</struct></value></param><param><value><int>+3</int></value></param></params></methodCall>",
+        "<?xml version='1.0'?><methodCall> <!-- c --><methodName> f.g </methodName>\n<params><param><value>a &amp; <![CDATA[<b>\"]]></value></param><param><value> <array><data> <value><array><data/></array></value><value><base64>YQ==</base64></value><value/><value> </value><value><nil/></value></data></array> </value></param></params></methodCall>",
+        "<methodCall><methodName>f</methodName><params><param><value><i4>x</i4></value></param></params></methodCall>",
+        "<methodCall><methodName>f</methodName><params><param><value><struct><member><value>1</value></member></struct></value></param></params></methodCall>",
+        "<methodCall><methodName>f</methodName></methodCall>",
+    ]
+    got = docs(spark, *calls).select("doc_id", rpc.decode_call(F.col("text")).alias("d")).select("doc_id", "d.method", "d.error", F.transform("d.params", lambda p: F.struct(p["type"].alias("t"), p["text"].alias("x"), F.to_json(p["value"]).alias("v"))).alias("p")).orderBy("doc_id").collect()
+    assert [tuple(p) for p in got[0]["p"]] == [("struct", None, '{"a":1,"b":["2"]}'), ("i4", "+3", "3")]
+    assert got[1]["method"] == "f.g" and [tuple(p) for p in got[1]["p"]] == [("string", 'a & <b>"', '"a & <b>\\""'), ("array", None, '[[],{"base64":"YQ=="},""," ",null]')]
+    assert [r["error"] for r in got] == [None, None, "InvalidValue", "InvalidValue", None] and got[4]["p"] == []
+    inner = rpc.members(F.lit(f"<value><struct>{member('s', f'<struct>{member(chr(120), 1)}</struct>')}{member('t', '<int>2</int>')}</struct></value>"))
+    assert one(spark, F.array_sort(F.map_keys(inner)), F.variant_get(inner["s"]["value"], "$.x", "string"), rpc.as_int(inner["t"])) == (["s", "t"], "1", 2)
+    items = rpc.items(F.lit("<value><array><data><value><array><data><value>1</value></data></array></value><value>2</value></data></array></value>"))
+    assert one(spark, F.transform(items, lambda x: x["type"])) == (["array", "string"],)
+    kinds = [rpc.enumerated(rpc.scalar(F.lit(f"<value>{x}</value>")), ["up", "down"])["tag"] for x in ("<int>1</int>", "up", "left", f"<struct>{member('down', '<i4>5</i4>')}</struct>", "<int>7</int>")]
+    assert one(spark, *kinds) == ("down", "up", None, "down", None)
+
+
 def test_messages(spark):
     v = lambda x: rpc.scalar(F.lit(x))
     assert one(spark, rpc.as_int(v("<value><int>+1</int></value>")), rpc.as_string(v("<value></value>")), rpc.as_string(v("<value>a&amp;b</value>")), rpc.as_boolean(v("<value><boolean>1</boolean></value>")), rpc.as_boolean(v("<value><boolean>true</boolean></value>")), rpc.as_string(v("<value><dateTime.iso8601>DATETIME</dateTime.iso8601></value>")), rpc.as_int(v("<value><i4>2147483648</i4></value>"))) == (1, "", "a&b", True, None, "DATETIME", None)
@@ -129,7 +175,7 @@ def test_messages(spark):
     with pytest.raises(ValueError):
         rpc.value(F.lit(1), T.LongType())
     nested = rpc.any_value(F.lit("<value><array><data><value><i4>1</i4></value><value><struct><member><name>k</name><value><i4>2</i4></value></member></struct></value></data></array></value>"))
-    assert one(spark, F.variant_get(nested, "$.array.data.value[1].struct.member.name", "string")) == ("k",)
+    assert one(spark, F.variant_get(nested, "$[1].k", "int")) == (2,)
 
 
 def test_encodings(spark):
@@ -140,11 +186,11 @@ def test_encodings(spark):
 
 
 def test_dtd(spark):
-    d = docs(spark, "<!DOCTYPE e PUBLIC 'pubid' 'system'><e/>", "<!DOCTYPE e [<!ELEMENT div1 (head, (p | list | note)*, div2*)><!ENTITY hatch-pic SYSTEM \"../grafix/OpenHatch.gif\" NDATA gif>]><e/>", "<e/>")
+    d = docs(spark, "<!DOCTYPE book PUBLIC '-//Shelf//1' 'shelf.dtd'><book/>", "<!DOCTYPE book [<!ELEMENT book (title, (part | note+)*, ((index | map)?))><!ENTITY cover SYSTEM \"img/cover.png\" NDATA png><!ELEMENT a (b,c|d)>]><book/>", "<e/>")
     kind = d.select("doc_id", dtd.doctype(F.col("text")).alias("d")).orderBy("doc_id").collect()
-    assert tuple(kind[0]["d"]["external_id"]) == ("PUBLIC", "pubid", "system") and kind[2]["d"] is None
+    assert tuple(kind[0]["d"]["external_id"]) == ("PUBLIC", "-//Shelf//1", "shelf.dtd") and kind[2]["d"] is None
     rows = dtd.declarations(d).orderBy("pos").collect()
-    assert rows[0]["content"] == "CHILDREN(head,(p|list|note)*,div2*)" and (rows[1]["ndata"], rows[1]["external_id"]["system"]) == ("gif", "../grafix/OpenHatch.gif")
+    assert rows[0]["content"] == "CHILDREN(title,(part|note+)*,((index|map)?))" and (rows[1]["ndata"], rows[1]["external_id"]["system"]) == ("png", "img/cover.png") and rows[2]["content"] is None
 
 
 def test_writers(spark):
@@ -152,6 +198,7 @@ def test_writers(spark):
     assert got == ('<xrs attr="&lt;&amp;&apos;&quot;">&lt;&amp;]]&gt;</xrs>', "<![CDATA[a]]]]><![CDATA[>b]]>", None, "<e/>")
     d = docs(spark, "<?xml version='1.1'?><a z='1' b='\"'><!--c--><b/>é</a>")
     assert writer.serialize(events.events(d), "compact").first()["xml"] == "<?xml version='1.1'?><a z=\"1\" b=\"&#34;\"><!--c--><b/>é</a>"
+    assert [tuple(r) for r in d.select(*[writer.rewritten(F.col("text"), f) for f in writer.FORMS]).collect()] == [tuple(writer.serialize(events.events(d), f).first()["xml"] for f in writer.FORMS)]
     assert writer.serialize(events.events(d), "canonical").first()["xml"] == "<?xml version='1.1'?><a b=\"&quot;\" z=\"1\"><b></b>é</a>"
 
 

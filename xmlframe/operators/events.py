@@ -1,8 +1,9 @@
-"""Documents to event rows, and well-formedness, all in DataFrame operations.
+"""Documents to event rows, and well-formedness, all in column expressions.
 
 A document's tokens come from one regular expression; what it cannot read is a token of one character,
-so tokens always cover the document. Depth, matching tags and byte offsets are windows over one shuffle
-by document. A document is one row of the input and so one task's rows: the unit that cannot be split.
+so tokens always cover the document. A document is a row of the input with its tokens at hand as an array:
+depth and byte offsets are running sums of that array, and well-formedness is one walk over it. Nothing is
+shuffled; rows with one id, or none, are documents of their own.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chars, escape
+from ..functions.arrays import bound, running_sums
 from ..functions.names import split_name
+from . import dtd
 
 #: The alternatives: comment, CDATA, processing instruction, DOCTYPE, end tag, start tag, reference, text.
+#: In a DOCTYPE's internal subset, quotes in comments and instructions are no literals.
 TOKEN = (
     r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>"
-    r"""|<!DOCTYPE(?:[^>\["']|"[^"]*"|'[^']*')*+(?:\[(?:[^\]"']|"[^"]*"|'[^']*')*+\]\s*+)?>"""
+    r"""|<!DOCTYPE(?:[^>\["']|"[^"]*"|'[^']*')*+(?:\[(?:<!--[\s\S]*?-->|<\?[\s\S]*?\?>|[^\]"']|"[^"]*"|'[^']*')*+\]\s*+)?>"""
     r"""|</[^>]*+>|<[^!?/>\s"'<](?:[^>"'<]|"[^"]*"|'[^']*')*+>|&[^;<&\s]*+;?|[^<&]++|[\s\S]"""
 )
 _NAME = chars.NAME
@@ -28,10 +32,14 @@ _DECLARATION = (
 )
 
 
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, token): the tokens of each document in order. Null and empty documents have none."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    return docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("tokens")).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    read = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
+    return read.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
 
 
 def kind_of(token: Column) -> Column:
@@ -66,7 +74,7 @@ def declaration(token: Column) -> Column:
     return F.struct(pick("version").alias("version"), pick("encoding").alias("encoding"), (pick("standalone") == "yes").alias("standalone"))
 
 
-def _text_of(kind: Column, token: Column) -> Column:
+def text_of(kind: Column, token: Column) -> Column:
     return (
         F.when(kind == "COMMENT", F.substring(token, F.lit(5), F.char_length(token) - 7))
         .when(token.startswith("<![CDATA["), F.substring(token, F.lit(10), F.char_length(token) - 12))
@@ -76,29 +84,52 @@ def _text_of(kind: Column, token: Column) -> Column:
     )
 
 
+def is_empty(token: Column) -> Column:
+    """Whether a start tag closes itself."""
+    return token.endswith("/>")
+
+
+def name_of(kind: Column, token: Column) -> Column:
+    """The name of a tag, the target of an instruction or declaration, the root that a DOCTYPE names."""
+    return (
+        F.when(kind.isin("STAG", "ETAG"), tag_name(token))
+        .when(kind.isin("PI", "XML_DECL"), F.regexp_extract(token, r"\A<\?([^\s?]*)", 1))
+        .when(kind == "DTD", F.regexp_extract(token, r"\A<!DOCTYPE\s+([^\s\[>]+)", 1))
+    )
+
+
+def located(text: Column) -> Column:
+    """array<struct<token, kind, empty, depth, end_offset>> of a document; see `events`."""
+
+    def with_sums(rows: Column) -> Column:
+        step = lambda r: F.when(r["kind"] == "ETAG", -1).when((r["kind"] == "STAG") & ~r["empty"], 1).otherwise(0)
+        sums = F.struct(running_sums(F.transform(rows, step)).alias("depth"), running_sums(F.transform(rows, lambda r: F.octet_length(r["token"]))).alias("ends"))
+
+        def zipped(s: Column) -> Column:
+            inside = lambda r: F.when((r["kind"] == "ETAG") | r["empty"], 1).otherwise(0)
+            return F.transform(rows, lambda r, i: F.struct(r["token"].alias("token"), r["kind"].alias("kind"), r["empty"].alias("empty"), (F.get(s["depth"], i) + inside(r)).cast("int").alias("depth"), F.get(s["ends"], i).alias("end_offset")))
+
+        return bound(sums, zipped)
+
+    kinds = F.transform(tokens(text), lambda x: F.struct(x.alias("token"), kind_of(x).alias("kind")))
+    return bound(F.transform(kinds, lambda r: F.struct(r["token"].alias("token"), r["kind"].alias("kind"), ((r["kind"] == "STAG") & is_empty(r["token"])).alias("empty"))), with_sums)
+
+
 def events(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_attributes: bool = True) -> DataFrame:
     """(doc_id, pos, kind, name, prefix, local, attrs, text, empty, depth, start_offset, end_offset, token).
 
     Offsets count UTF-8 bytes. depth is 0 for what stands outside the root, and a tag's is that of its
     element's content. An empty element is one STAG row with empty = true; `with_end_tags` adds its ETAG.
     Attributes are an own projection, so plans that do not read them do not extract them."""
-    kind = kind_of(F.col("token"))
-    rows = tokenize(docs, doc_id, text).withColumn("kind", kind)
-    rows = rows.withColumn("empty", (F.col("kind") == "STAG") & F.col("token").endswith("/>"))
-    step = F.when((F.col("kind") == "STAG") & ~F.col("empty"), 1).when(F.col("kind") == "ETAG", -1).otherwise(0)
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum(step).over(upto)).withColumn("end_offset", F.sum(F.octet_length("token").cast("long")).over(upto))
-    tag = F.col("kind").isin("STAG", "ETAG")
-    name = F.when(tag, tag_name(F.col("token"))).when(F.col("kind").isin("PI", "XML_DECL"), F.regexp_extract("token", r"\A<\?([^\s?]*)", 1)).when(F.col("kind") == "DTD", F.regexp_extract("token", r"\A<!DOCTYPE\s+([^\s\[>]+)", 1))
-    rows = rows.withColumn("name", name).withColumn("depth", (F.col("_sum") + F.when((F.col("kind") == "ETAG") | F.col("empty"), 1).otherwise(0)).cast("int"))
-    split = F.when(tag, split_name(F.col("name")))
-    out = rows.select(
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(located(F.col(text))).alias("pos", "e")).select("doc_id", "pos", "e.*")
+    rows = rows.withColumn("name", name_of(F.col("kind"), F.col("token")))
+    split = F.when(F.col("kind").isin("STAG", "ETAG"), split_name(F.col("name")))
+    return rows.select(
         "doc_id", "pos", "kind", "name", split["prefix"].alias("prefix"), split["local"].alias("local"),
         *([F.when(F.col("kind") == "STAG", attributes(F.col("token"))).alias("attrs")] if with_attributes else []),
-        _text_of(F.col("kind"), F.col("token")).alias("text"), "empty", "depth",
+        text_of(F.col("kind"), F.col("token")).alias("text"), "empty", "depth",
         (F.col("end_offset") - F.octet_length("token")).alias("start_offset"), "end_offset", "token",
     )
-    return out
 
 
 def with_end_tags(rows: DataFrame) -> DataFrame:
@@ -114,6 +145,9 @@ def with_end_tags(rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------- well-formedness
 
+# The codes of errors, and details such as "quote or single quote", are those that users of
+# well-formedness reports know.
+
 def _error(code: str, detail: Column | str | None = None) -> Column:
     return F.struct(F.lit(code).alias("code"), (F.lit(detail) if detail is None or isinstance(detail, str) else detail).cast("string").alias("detail"))
 
@@ -128,34 +162,39 @@ def _reference_error(ref: Column) -> Column:
     )
 
 
-def _looked_at(rows: DataFrame) -> DataFrame:
-    """Columns that several checks read, each computed once: _rest, a start tag behind its name; _left, what
-    follows its well-formed attributes; _repeated, an attribute name that comes twice; _unknown, a reference
-    in a token that stands for nothing."""
-    tag = F.col("kind") == "STAG"
+def _first_reference_error(text: Column) -> Column:
+    return F.when(text.contains("&"), bound(escape.unknown_reference(text), lambda ref: F.when(ref.isNotNull(), _reference_error(ref))))
+
+
+def _attributes_error(rest: Column) -> Column:
+    """What is wrong behind a start tag's name."""
     attr = rf"\s+{_NAME}\s*=\s*(?:\"[^\"<]*\"|'[^'<]*')"
-    rows = rows.withColumn("_rest", F.when(tag, F.regexp_replace("token", r"\A<[^\s/>]+", "")))
-    names = F.transform(F.regexp_extract_all("_rest", F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.regexp_extract(a, r"\A[^\s=]+", 0))
-    values = F.array_join(F.regexp_extract_all("_rest", F.lit(_VALUE), F.lit(0)), "")
-    rows = rows.withColumns({"_left": F.regexp_replace("_rest", rf"\A(?:{attr})*+", ""), "_names": F.when(F.col("_rest").contains("="), names), "_values": F.when(F.col("_rest").contains("&"), values)})
-    repeated = F.get(F.array_except(F.transform("_names", lambda n, i: F.when(F.array_position(F.col("_names"), n) <= i, n)), F.array(F.lit(None).cast("string"))), 0)
-    alone = F.when((F.col("kind") == "CHARACTERS") & F.col("token").startswith("&"), F.col("token"))
-    return rows.withColumns({"_repeated": repeated, "_unknown": escape.unknown_reference(F.coalesce("_values", alone))}).drop("_names", "_values")
+    unread = lambda left: (
+        F.when(left.rlike(rf"\A\s+{_NAME}\s*=\s*[\"'][^\"']*<"), _error("IllegalAttributeValue"))
+        .when(left.rlike(rf"\A\s+{_NAME}\s*=\s*[^\"']"), _error("ExpectToken", "quote or single quote"))
+        .when(left.rlike(rf"\A\s+{_NAME}\s*(?:[^=\s]|\s)"), _error("ExpectToken", "="))
+        .otherwise(_error("ExpectToken", ">"))
+    )
+    repeated = lambda names: F.get(F.filter(names, lambda n, i: F.array_position(names, n) <= i), 0)
+    names = F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.regexp_extract(a, r"\A[^\s=]+", 0))
+    values = F.array_join(F.regexp_extract_all(rest, F.lit(_VALUE), F.lit(0)), "")
+    second = bound(bound(names, repeated), lambda n: F.when(n.isNotNull(), _error("NonUniqueAttribute", n)))
+    return bound(
+        F.regexp_replace(rest, rf"\A(?:{attr})*+", ""),
+        lambda left: F.when(~left.rlike(r"\A\s*/?>\z"), unread(left)).otherwise(F.coalesce(second, F.when(rest.contains("&"), bound(values, _first_reference_error)))),
+    )
 
 
 def _tag_error(tag: Column) -> Column:
-    name, left = tag_name(tag), F.col("_left")
-    well = left.rlike(r"\A\s*/?>\z")
-    return (
-        F.when(~name.rlike(rf"\A[{chars.NAME_START}]"), _error("IllegalNameStartChar", F.substring(name, F.lit(1), F.lit(1))))
-        .when(~chars.is_name(name), _error("IllegalName", name))
-        .when(~well & left.rlike(rf"\A\s+{_NAME}\s*=\s*[\"'][^\"']*<"), _error("IllegalAttributeValue"))
-        .when(~well & left.rlike(rf"\A\s+{_NAME}\s*=\s*[^\"']"), _error("ExpectToken", "quote or single quote"))
-        .when(~well & left.rlike(rf"\A\s+{_NAME}\s*(?:[^=\s]|\s)"), _error("ExpectToken", "="))
-        .when(~well, _error("ExpectToken", ">"))
-        .when(F.col("_repeated").isNotNull(), _error("NonUniqueAttribute", F.col("_repeated")))
-        .when(F.col("_unknown").isNotNull(), _reference_error(F.col("_unknown")))
-    )
+    def judged(name: Column) -> Column:
+        rest = F.substring(tag, F.char_length(name) + 2, F.char_length(tag))
+        return (
+            F.when(~name.rlike(rf"\A[{chars.NAME_START}]"), _error("IllegalNameStartChar", F.substring(name, F.lit(1), F.lit(1))))
+            .when(~chars.is_name(name), _error("IllegalName", name))
+            .otherwise(bound(rest, lambda r: F.when(~r.rlike(r"\A\s*/?>\z"), _attributes_error(r))))
+        )
+
+    return bound(tag_name(tag), judged)
 
 
 def _bad_error(token: Column, after: Column) -> Column:
@@ -163,80 +202,127 @@ def _bad_error(token: Column, after: Column) -> Column:
     return (
         F.when(token == "&", F.when(after.isNull(), _error("UnexpectedEof")).otherwise(_error("IllegalNameStartChar", F.substring(after, F.lit(1), F.lit(1)))))
         .when(after.isNull() | after.rlike(r"\A!--|\A!\[CDATA\["), _error("UnexpectedEof"))
+        .when(after.startswith("!DOCTYPE") | after.startswith("/"), _error("ExpectToken", ">"))
         .when(after.startswith("?"), _error("ExpectToken", "?>"))
-        .when(after.startswith("/"), _error("ExpectToken", ">"))
         .when(after.rlike(rf"\A[{chars.NAME_START}][^\"']*=\s*[\"']"), _error("IllegalAttributeValue"))
         .when(after.rlike(rf"\A[{chars.NAME_START}]"), _error("UnexpectedEof"))
         .otherwise(_error("IllegalNameStartChar", F.substring(after, F.lit(1), F.lit(1))))
     )
 
 
-def token_error(kind: Column, token: Column, after: Column, dialect: str) -> Column:
-    """struct<code, detail> of what is wrong within a token of `_looked_at` rows, or null."""
+def token_error(kind: Column, token: Column, after: Column, dialect: str = "full") -> Column:
+    """struct<code, detail> of what is wrong within a token, wherever it stands, or null."""
     inner = F.substring(token, F.lit(5), F.char_length(token) - 7)
     target = F.regexp_extract(token, r"\A<\?([^\s?]*)", 1)
-    invalid = chars.first_invalid(token)["char"]
-    text = F.when(F.col("_unknown").isNotNull(), _reference_error(F.col("_unknown"))).when(token.startswith("&"), None).when(invalid.isNotNull(), _error("InvalidCharacter", invalid))
-    if dialect != "full":
-        text = text.when(~token.startswith("<") & token.contains("]]>"), _error("IllegalCDataSectionEnd"))
-    checks = (
-        F.when(kind == "CHARACTERS", text)
+    illegal = lambda code: bound(chars.first_invalid(token)["char"], lambda c: F.when(c.isNotNull(), _error(code, c)))
+    text = F.when(token.startswith("&"), _first_reference_error(token))
+    if dialect == "simple":
+        text = text.when(~token.startswith("<") & token.contains("]]>"), F.coalesce(illegal("InvalidCharacter"), _error("IllegalCDataSectionEnd")))
+    declared = _error("DtdError", "Unsupported") if dialect == "simple" else F.when(~dtd.well_formed(token), _error("ExpectToken", ">"))
+    return (
+        F.when(kind == "CHARACTERS", text.otherwise(illegal("InvalidCharacter")))
         .when(kind == "STAG", _tag_error(token))
         .when(kind == "ETAG", F.when(~token.rlike(rf"\A</{_NAME}\s*>\z"), F.when(token.rlike(rf"\A</{_NAME}"), _error("ExpectToken", ">")).otherwise(_error("IllegalNameStartChar", F.substring(token, F.lit(3), F.lit(1))))))
-        .when(kind == "COMMENT", F.when(inner.contains("--") | inner.endswith("-"), _error("CommentColonColon")).when(invalid.isNotNull(), _error("IllegalChar", invalid)))
+        .when(kind == "COMMENT", F.when(inner.contains("--") | inner.endswith("-"), _error("CommentColonColon")).otherwise(illegal("IllegalChar")))
         .when(kind == "XML_DECL", F.when(~token.rlike(_DECLARATION), _error("ExpectToken", "?>")))
         .when(
             kind == "PI",
             F.when(F.lower(target) == "xml", _error("InvalidPITarget"))
             .when(~token.rlike(rf"\A<\?{_NAME}(?:\s[\s\S]*)?\?>\z"), F.when(token.rlike(rf"\A<\?{_NAME}"), _error("ExpectToken", "?>")).otherwise(_error("IllegalNameStartChar", F.substring(target, F.lit(1), F.lit(1)))))
-            .when(invalid.isNotNull(), _error("IllegalChar", invalid)),
+            .otherwise(illegal("IllegalChar")),
         )
+        .when(kind == "DTD", declared)
         .when(kind == "BAD", _bad_error(token, after))
     )
-    return checks if dialect == "full" else F.when(kind == "DTD", _error("DtdError", "Unsupported")).otherwise(checks)
+
+
+def _place_error(kind: Column, token: Column, state: Column, dialect: str) -> Column:
+    """What is wrong with a token standing where it does, whatever it says. state: see `_walk`."""
+    depth, root = F.size(state["stack"]), state["root"]
+    blank = chars.only_space(token)
+    first_char = F.regexp_extract(token, rf"\A[{chars.SPACE}]*([\s\S])", 1)
+    if dialect == "dom":
+        late = F.when((kind != "CHARACTERS") | ~blank, _error("TrailingContent"))
+        return (
+            F.when(root & (depth == 0), late)
+            .when((kind == "XML_DECL") & (root | state["declared"] | state["doctype"]), _error("UnexpectedDecl"))
+            .when((kind == "DTD") & (root | state["doctype"]), _error("UnexpectedDocType"))
+            .when((depth == 0) & (kind == "CHARACTERS") & ~blank, _error("PrologCharacters"))
+            .when((depth == 0) & (kind == "ETAG"), _error("EndEventMismatch", tag_name(token)))
+        )
+    second = _error("ExpectedDocumentEnd") if dialect == "full" else _error("Expected", "comment, PI")
+    markup = token.rlike(r"\A(?:&|<)")
+    outside = F.when(~markup & ~blank, _error("UnexpectedCharacter", first_char))
+    if dialect == "simple":
+        outside = F.when(markup, _error("Expected", "comment, PI")).otherwise(outside)
+    out = (
+        F.when((kind == "XML_DECL") & (state["at"] > 0), _error("InvalidPITarget"))
+        .when(kind.isin("STAG", "ETAG") & (depth == 0) & root, second)
+        .when((kind == "CHARACTERS") & (depth == 0), outside)
+    )
+    return out if dialect == "simple" else out.when((kind == "DTD") & (root | state["doctype"]), _error("UnexpectedDocType"))
+
+
+def _walk(rows: Column, dialect: str) -> Column:
+    """struct<stack, at, root, declared, doctype, error> behind the last token, or behind the first that is
+    wrong. rows: array<struct<token, kind, error>>, the error being that of the token itself; stack: the names
+    of the open elements; at: the number of tokens; root, declared, doctype: what has come."""
+    state = "struct<stack:array<string>,at:int,root:boolean,declared:boolean,doctype:boolean,error:struct<code:string,detail:string>>"
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("at"), *[F.lit(False).alias(k) for k in ("root", "declared", "doctype")], F.lit(None).alias("error")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        kind, token, stack = x["kind"], x["token"], s["stack"]
+        top = F.get(stack, F.size(stack) - 1)
+        closed = F.when(kind == "ETAG", F.when(top.isNull(), _error("ETagAfterRootElement")).when(top != tag_name(token), _error("WrongETagName", top)))
+        wrong = F.coalesce(_place_error(kind, token, s, dialect), x["error"], closed)
+        after = F.when((kind == "STAG") & ~is_empty(token), F.array_append(stack, tag_name(token))).when(kind == "ETAG", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
+        come = F.struct(after.alias("stack"), (s["at"] + 1).alias("at"), (s["root"] | (kind == "STAG")).alias("root"), (s["declared"] | (kind == "XML_DECL")).alias("declared"), (s["doctype"] | (kind == "DTD")).alias("doctype"), F.lit(None).cast("struct<code:string,detail:string>").alias("error"))
+        found = lambda w: F.when(w.isNull(), come).otherwise(s.withField("error", w))
+        return F.when(s["error"].isNotNull(), s).otherwise(bound(wrong, found))
+
+    return F.aggregate(rows, start, step)
+
+
+def first_error(text: Column, dialect: str = "full") -> Column:
+    """struct<code, detail, offset> of the first thing that keeps a text from being a well-formed document;
+    null if nothing does, or for a null text. See `check`."""
+    if dialect not in ("full", "simple", "dom"):
+        raise ValueError(f"no dialect {dialect}")
+    return bound(text, lambda t: _first_error(t, dialect))
+
+
+def _first_error(text: Column, dialect: str) -> Column:
+    at = lambda error, offset: F.struct(error["code"].alias("code"), error["detail"].alias("detail"), offset.cast("long").alias("offset"))
+
+    def judged(rows: Column) -> Column:
+        errors = F.transform(rows, lambda r, i: F.struct(r["token"].alias("token"), r["kind"].alias("kind"), token_error(r["kind"], r["token"], F.get(rows, i + 1)["token"], dialect).alias("error")))
+        last = F.get(rows, F.size(rows) - 1)["token"]
+        offset = lambda n: F.aggregate(F.slice(rows, F.lit(1), n), F.lit(0).cast("long"), lambda sum_, r: sum_ + F.octet_length(r["token"]))
+        unfinished = F.when(~last.rlike(r"\A(?:<|&)") | F.lit(dialect == "dom"), _error("UnexpectedEof")).otherwise(_error("OpenElementAtEof"))
+        rootless = {"full": F.lit(None).cast("struct<code:string,detail:string>"), "simple": _error("Expected", "XML"), "dom": _error("UnexpectedEof")}[dialect]
+
+        def told(state: Column) -> Column:
+            at_end = F.when(F.size(state["stack"]) > 0, unfinished).when(~state["root"], rootless)
+            return F.when(state["error"].isNotNull(), at(state["error"], offset(state["at"]))).otherwise(bound(at_end, lambda e: F.when(e.isNotNull(), at(e, F.octet_length(text)))))
+
+        return bound(_walk(errors, dialect), told)
+
+    kinds = F.transform(tokens(text), lambda x: F.struct(x.alias("token"), kind_of(x).alias("kind")))
+    return F.when(text.isNotNull(), bound(kinds, judged))
 
 
 def check(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dialect: str = "full") -> DataFrame:
     """(doc_id, ok, error): whether each document is well-formed, and the first thing that is wrong:
     struct<code, detail, offset>, offset being the byte at which the token that shows it begins.
 
-    dialect `full` allows DOCTYPEs, empty documents, and references and CDATA outside the root; `simple`
-    allows none of these, nor `]]>` in text. A null document is neither ok nor wrong. Rows with one id are
-    taken for one document."""
-    rows = events(docs, doc_id, text, with_attributes=False)
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    level = Window.partitionBy("doc_id", "_level").orderBy("pos")
-    opens = (F.col("kind") == "STAG") & ~F.col("empty")
-    rows = rows.withColumns({"_after": F.lead("token").over(order), "_roots": F.coalesce(F.sum(((F.col("kind") == "STAG") & (F.col("depth") == 1)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    rows = rows.withColumn("_level", F.when(opens | (F.col("kind") == "ETAG"), F.col("depth")))
-    rows = rows.withColumn("_open", F.lag(F.struct("kind", "name")).over(level))
-    lonely = F.col("_open").isNull() | (F.col("_open")["kind"] == "ETAG")
-    space = chars.only_space(F.col("token"))
-    first_char = F.regexp_extract("token", rf"\A[{chars.SPACE}]*([\s\S])", 1)
-    outside = F.when(F.col("kind") == "CHARACTERS", F.when(~F.col("token").rlike(r"\A(?:&|<)") & ~space, _error("UnexpectedCharacter", first_char)))
-    if dialect != "full":
-        outside = F.when((F.col("kind") == "CHARACTERS") & F.col("token").rlike(r"\A(?:&|<)"), _error("Expected", "comment, PI")).otherwise(outside)
-    second = _error("ExpectedDocumentEnd") if dialect == "full" else _error("Expected", "comment, PI")
-    structure = (
-        F.when((F.col("kind") == "STAG") & (F.col("depth") == 1) & (F.col("_roots") > 0), second)
-        .when((F.col("kind") == "ETAG") & (F.col("depth") < 1), F.when(F.col("_roots") > 0, second).otherwise(_error("ETagAfterRootElement")))
-        .when((F.col("kind") == "ETAG") & lonely, _error("ETagAfterRootElement"))
-        .when((F.col("kind") == "ETAG") & (F.col("_open")["name"] != F.col("name")), _error("WrongETagName", F.col("_open")["name"]))
-        .when(F.col("depth") == 0, outside)
-    )
-    error = F.coalesce(F.when((F.col("depth") == 0) & (F.col("kind") == "CHARACTERS"), structure), token_error(F.col("kind"), F.col("token"), F.col("_after"), dialect), structure)
-    rows = _looked_at(rows).withColumn("_error", error)
-    wrong = F.when(F.col("_error").isNotNull(), F.struct("_error.code", "_error.detail", F.col("start_offset").alias("offset")))
-    last = F.max_by(F.struct("kind", "empty", "depth", "end_offset", "token"), "pos")
-    found = rows.groupBy("doc_id").agg(F.min_by(wrong, F.when(wrong.isNotNull(), F.col("pos"))).alias("wrong"), last.alias("last"))
-    left = F.col("last.depth") - F.when((F.col("last.kind") == "ETAG") | F.col("last.empty"), 1).otherwise(0)
-    at_end = F.when(left > 0, F.struct(F.when((F.col("last.kind") == "CHARACTERS") & ~F.col("last.token").rlike(r"\A(?:<|&)"), "UnexpectedEof").otherwise("OpenElementAtEof").alias("code"), F.lit(None).cast("string").alias("detail"), F.col("last.end_offset").alias("offset")))
-    found = found.select(F.col("doc_id").alias("_id"), F.coalesce("wrong", at_end).alias("error"))
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).isNull().alias("_null"), (F.col(text) == "").alias("_empty")).distinct()
-    out = every.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    if dialect != "full":
-        out = out.withColumn("error", F.when(F.col("_empty"), F.struct(F.lit("Expected").alias("code"), F.lit("XML").alias("detail"), F.lit(0).cast("long").alias("offset"))).otherwise(F.col("error")))
-    return out.select("doc_id", F.when(~F.col("_null"), F.col("error").isNull()).alias("ok"), "error")
+    An XML declaration is the first thing of a document, and a DOCTYPE comes once and before the root; its
+    internal subset is checked. Dialect `full` allows DOCTYPEs, documents without a root, and references and
+    CDATA outside the root; `simple` allows none of these, nor `]]>` in text; `dom` is `full` with a root
+    that must be, nothing but white space behind it, and codes of its own for what stands in a wrong place
+    (there, a declaration may follow white space and comments). A null document is neither ok nor wrong.
+    A row of docs is a row of the result, also with a null or repeated id; other columns are not looked at."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).isNotNull().alias("_some"), first_error(F.col(text), dialect).alias("error"))
+    return found.select("doc_id", F.when(F.col("_some"), F.col("error").isNull()).alias("ok"), "error")
 
 
 def tag_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

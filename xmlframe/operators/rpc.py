@@ -1,5 +1,9 @@
-"""XML-RPC messages: encoding by schema into markup columns, decoding with Spark's XPath and XML
-functions into structs and variants. Calls over HTTP are no query and are left to the caller."""
+"""XML-RPC messages: encoding by schema into markup columns, decoding in the row, from the message's tokens.
+Calls over HTTP are no query and are left to the caller.
+
+A value is struct<type, text, value>: text is that of a scalar, value a variant of any value, nested ones
+included. Tokens become pieces of JSON one by one - a tag is a bracket, a comma is told by what stands before -
+so values of any depth are read without recursion; what does not make JSON in the end is an error."""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import escape
-from . import codec
+from ..functions.arrays import bound, running_sums
+from . import codec, events
 
 
 def value(column: Column, kind: T.DataType) -> Column:
@@ -63,13 +68,125 @@ def fault(code: Column, text: Column) -> Column:
     return F.concat(F.lit('<?xml version="1.0"?><methodResponse><fault><value><struct>'), inner, F.lit("</struct></value></fault></methodResponse>"))
 
 
+# Element names of messages.
+INTEGERS = ["int", "i1", "i2", "i4", "i8"]
+TEXTS = ["string", "value", "name", "methodName"]
+TAGGED = ["dateTime.iso8601", "base64"]
+VALUE = "struct<type:string,text:string,value:variant>"
+
+
+def pieces(message: Column) -> Column:
+    """array<struct<tag, opens, closes, text>> of a message: tags with their names, and texts with references
+    resolved. Comments, instructions, declarations and white space between tags are left out."""
+
+    def piece(token: Column) -> Column:
+        tag = token.startswith("<") & ~token.startswith("<![")
+        ends = token.startswith("</")
+        text = F.when(token.startswith("<!["), F.substring(token, F.lit(10), F.char_length(token) - 12)).when(token.startswith("&"), F.coalesce(escape.resolve(token), token)).when(token.contains("\r"), escape.line_ends(token)).otherwise(token)
+        return F.struct(F.when(tag, events.tag_name(token)).alias("tag"), (tag & ~ends).alias("opens"), (ends | (tag & events.is_empty(token))).alias("closes"), F.when(~tag, text).alias("text"))
+
+    kept = F.filter(events.tokens(message), lambda x: ~(x.startswith("<?") | x.startswith("<!-") | x.startswith("<!D")))
+
+    def without_space(rows: Column) -> Column:
+        """A blank text counts beside other text, and as all that one of TEXTS or TAGGED holds."""
+
+        def counts(r: Column, i: Column) -> Column:
+            before, after = F.get(rows, i - 1), F.get(rows, i + 1)
+            beside = before["tag"].isNull() | after["tag"].isNull()
+            return r["tag"].isNotNull() | ~r["text"].rlike(r"\A[ \t\r\n]*\z") | ((i > 0) & (i < F.size(rows) - 1) & (beside | (before["opens"] & ~before["closes"] & after["closes"] & ~after["opens"] & before["tag"].isin(*TEXTS, *TAGGED))))
+
+        return F.filter(rows, counts)
+
+    return bound(F.transform(kept, piece), without_space)
+
+
+def _json_text(text: Column) -> Column:
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def _json(rows: Column) -> Column:
+    """The JSON text of the pieces of one value (or of `params`). `!` stands for what cannot be: it is no JSON."""
+
+    def one(r: Column, i: Column) -> Column:
+        before, after = F.get(rows, i - 1), F.get(rows, i + 1)
+        tag, first = r["tag"], i == 0
+        second = ~first & before["closes"] & before["tag"].eqNullSafe(tag)  # the one before of the same container
+        comma = F.when(second, ",").otherwise("")
+        bare = after["text"].isNotNull() | (after["closes"] & ~after["opens"] & after["tag"].eqNullSafe("value"))
+        was_bare = before["text"].isNotNull() | (before["opens"] & ~before["closes"] & before["tag"].eqNullSafe("value"))
+        whole = r["opens"] & r["closes"]
+        closed = (
+            F.when(tag == "value", F.concat(comma, F.lit('""'))).when(tag == "string", F.lit('""')).when(tag == "struct", F.lit("{}")).when(tag.isin("data", "array", "params"), F.lit("[]"))
+            .when(tag == "nil", F.lit("null")).when(tag == "base64", F.lit('{"base64":""}')).otherwise("!")
+        )
+        opened = (
+            F.when(tag == "value", F.concat(comma, F.when(bare, '"').otherwise(""))).when(tag.isin("member", "param"), comma).when(tag.isin("string", "name"), F.lit('"'))
+            .when(tag.isin(*TAGGED), F.concat(F.lit('{"'), tag, F.lit('":"'))).when(tag == "struct", F.lit("{")).when(tag.isin("data", "params"), F.lit("["))
+            .when(tag == "nil", F.lit("null")).when(tag.isin("array", "boolean", "double", *INTEGERS), F.lit("")).otherwise("!")
+        )
+        ended = (
+            F.when(tag == "value", F.when(was_bare, '"').otherwise("")).when(tag == "string", F.lit('"')).when(tag == "name", F.lit('":')).when(tag.isin(*TAGGED), F.lit('"}'))
+            .when(tag == "struct", F.lit("}")).when(tag.isin("data", "params"), F.lit("]")).otherwise("")
+        )
+        within = F.when(before["opens"], before["tag"])
+        number = F.regexp_replace(F.trim(r["text"]), r"\A\+", "")
+        text = (
+            F.when(before["text"].isNotNull() | within.isin(*TEXTS, *TAGGED), _json_text(r["text"]))
+            .when(within.isin(*INTEGERS), F.coalesce(codec.integer(r["text"], "long").cast("string"), F.lit("!")))
+            .when(within == "double", F.when(number.rlike(r"\A-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"), F.regexp_replace(number, r"\A(-?)0+(?=[0-9])", "$1")).otherwise("!"))
+            .when(within == "boolean", F.when(F.trim(r["text"]) == "1", "true").when(F.trim(r["text"]) == "0", "false").otherwise("!"))
+            .otherwise("!")
+        )
+        return F.when(tag.isNull(), text).when(whole, closed).when(r["opens"], opened).otherwise(ended)
+
+    return F.array_join(F.transform(rows, one), "")
+
+
+def _cut(rows: Column, opens: Column, closes: Column) -> Column:
+    return F.zip_with(opens, closes, lambda a, b: F.when(b.isNotNull() & a.isNotNull() & (a <= b), F.slice(rows, a + 1, b - a + 1)))
+
+
+def _places(rows: Column) -> Column:
+    return F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1))
+
+
+def _elements(rows: Column, tag: str) -> Column:
+    """array<array<piece>>: the pieces of each element of a name that no other of its name is in, tags included."""
+    mine = lambda side: F.filter(_places(rows), lambda i: F.get(rows, i)[side] & F.get(rows, i)["tag"].eqNullSafe(tag))
+    return _cut(rows, mine("opens"), mine("closes"))
+
+
+def _spans(rows: Column, tag: str, level: int = 1) -> Column:
+    """`_elements` of a name that may stand in others of its name: those that stand in level - 1."""
+    step = lambda r: F.when(~r["tag"].eqNullSafe(tag), 0).otherwise(r["opens"].cast("int") - r["closes"].cast("int"))
+
+    def cut(levels: Column) -> Column:
+        mine = lambda i: F.get(rows, i)["tag"].eqNullSafe(tag)
+        opens = F.filter(_places(rows), lambda i: mine(i) & F.get(rows, i)["opens"] & (F.get(levels, i) + F.get(rows, i)["closes"].cast("int") == level))
+        closes = F.filter(_places(rows), lambda i: mine(i) & F.get(rows, i)["closes"] & (F.get(levels, i) == level - 1))
+        return _cut(rows, opens, closes)
+
+    return F.when(F.size(rows) > 0, bound(running_sums(F.transform(rows, step)), cut))
+
+
+def _value(rows: Column) -> Column:
+    """The value (see above) that the pieces of one `<value>` element hold; null for other pieces."""
+    return bound(rows, _value_of)
+
+
+def _value_of(rows: Column) -> Column:
+    second = F.get(rows, 1)
+    named = F.when(second["opens"], F.when(second["tag"].isin("int"), "i4").otherwise(second["tag"])).otherwise("string")
+    kind = F.when(F.get(rows, 0)["tag"].eqNullSafe("value"), F.when(F.size(rows) == 1, "string").otherwise(named))
+    text = F.array_join(F.transform(F.filter(rows, lambda r: r["text"].isNotNull()), lambda r: r["text"]), "")
+    return bound(kind, lambda k: F.when(k.isNotNull(), F.struct(k.alias("type"), F.when(~k.isin("struct", "array"), text).alias("text"), F.try_parse_json(_json(rows)).alias("value"))))
+
+
 def scalar(markup: Column) -> Column:
-    """struct<type, text> of one `<value>` element that is no struct or array: bare text is a string."""
-    typed = F.regexp_extract(markup, r"\A\s*<value>\s*<([A-Za-z0-9.]+)\s*/?>", 1)
-    text = F.regexp_extract(markup, r"\A\s*<value>\s*<[A-Za-z0-9.]+>([^<]*)</", 1)
-    bare = F.regexp_extract(markup, r"\A\s*<value>([^<]*)</value>\s*\z", 1)
-    kind = F.when(typed == "", "string").when(typed == "int", "i4").otherwise(typed)
-    return F.struct(kind.alias("type"), escape.unescape(F.when(typed == "", bare).otherwise(text)).alias("text"))
+    """The value of one `<value>` element: struct<type, text, value>. Bare text is a string."""
+    return bound(pieces(markup), _value)
 
 
 def as_int(v: Column) -> Column:
@@ -100,61 +217,97 @@ def type_error(v: Column, wanted: str) -> Column:
     return F.when(v["type"] != wanted, F.struct(F.lit("WrongType").alias("code"), v["type"].alias("detail")))
 
 
-_VALUE = r"<value>(?:[^<]|<(?!/?value>))*</value>"
+def _params(rows: Column) -> Column:
+    return F.transform(_elements(rows, "param"), lambda p: _value(F.slice(p, F.lit(2), F.size(p) - 2)))
 
 
 def param_values(message: Column) -> Column:
-    """array<struct<type, text>> of the params of a call or response whose values are scalars."""
-    inner = F.regexp_extract(message, r"<params>([\s\S]*)</params>", 1)
-    return F.transform(F.regexp_extract_all(inner, F.lit(_VALUE), F.lit(0)), scalar)
+    """array<struct<type, text, value>>: a value for each param of a call or response."""
+    return bound(pieces(message), _params)
+
+
+def _members(rows: Column) -> Column:
+    """map<string, value>; of equal names the last counts."""
+
+    def entry(m: Column) -> Column:
+        name, value = F.get(_elements(m, "name"), 0), F.get(_spans(m, "value"), 0)
+        return F.struct(F.array_join(F.transform(F.filter(name, lambda r: r["text"].isNotNull()), lambda r: r["text"]), "").alias("key"), _value(value).alias("value"))
+
+    def last_of_each(back: Column) -> Column:
+        # Later members come first, and the first of each name is kept: maps take no key twice.
+        names = F.transform(back, lambda e: e["key"])
+        return F.map_from_entries(F.filter(back, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+    return bound(F.reverse(F.transform(_spans(rows, "member"), entry)), last_of_each)
 
 
 def members(markup: Column) -> Column:
-    """map<string, struct<type, text>> of a struct whose members are scalars; of equal names the last
-    counts."""
-    found = F.regexp_extract_all(markup, F.lit(rf"<member>\s*<name>([^<]*)</name>\s*(?:{_VALUE})\s*</member>"), F.lit(0))
-    entries = F.transform(found, lambda m: F.struct(escape.unescape(F.regexp_extract(m, r"<name>([^<]*)</name>", 1)).alias("key"), scalar(F.regexp_extract(m, _VALUE, 0)).alias("value")))
-    # Later members come first, and the first of each name is kept: maps take no key twice.
-    back = F.reverse(entries)
-    names = F.transform(back, lambda e: e["key"])
-    return F.map_from_entries(F.filter(back, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+    """map<string, struct<type, text, value>> of the members of a struct, the outermost of the markup."""
+    return bound(pieces(markup), _members)
 
 
 def items(markup: Column) -> Column:
-    """array<struct<type, text>> of an array whose items are scalars."""
-    inner = F.regexp_extract(markup, r"<array>\s*<data>([\s\S]*)</data>\s*</array>", 1)
-    return F.transform(F.regexp_extract_all(inner, F.lit(_VALUE), F.lit(0)), scalar)
+    """array<struct<type, text, value>> of an array's items. markup: the array's `<value>`."""
+    return bound(pieces(markup), lambda rows: F.transform(_spans(rows, "value", 2), _value))
 
 
 def any_value(message: Column) -> Column:
-    """The whole message as a variant, nested values included."""
-    return codec.decode_any(message)
+    """The value of a `<value>` element, or the list of params of a message, as a variant: structs are objects,
+    arrays lists, dateTime.iso8601 and base64 objects with one field of that name. Null if it is neither."""
+    return bound(pieces(message), lambda rows: F.try_parse_json(bound(F.when(F.get(rows, 0)["tag"] == "value", rows).otherwise(F.get(_elements(rows, "params"), 0)), _json)))
+
+
+def enumerated(v: Column, names: list[str]) -> Column:
+    """struct<tag, value> of an enumeration: an int is the place of a name, a string a name, and a struct of one
+    member has the name as its member's. Null for what names none."""
+    tagged = F.variant_get(v["value"], "$", "map<string,variant>")
+    known = F.array(*[F.lit(n) for n in names])
+    tag = F.when(v["type"] == "i4", F.get(known, as_int(v))).when(v["type"] == "string", v["text"]).when((v["type"] == "struct") & (F.size(tagged) == 1), F.get(F.map_keys(tagged), 0))
+    return bound(tag, lambda t: F.when(t.isin(*names), F.struct(t.alias("tag"), F.when(v["type"] == "struct", F.get(F.map_values(tagged), 0)).alias("value"))))
+
+
+def _texts(rows: Column, tag: str) -> Column:
+    return F.transform(_elements(rows, tag), lambda span: F.trim(F.array_join(F.transform(F.filter(span, lambda r: r["text"].isNotNull()), lambda r: r["text"]), "")))
+
+
+def _count(rows: Column, tag: str) -> Column:
+    return F.size(F.filter(rows, lambda r: r["opens"] & r["tag"].eqNullSafe(tag)))
+
+
+def _unread(params: Column) -> Column:
+    """A param without a value, or with one that is none."""
+    return F.exists(params, lambda p: F.coalesce(p["value"].isNull(), F.lit(True)))
 
 
 def decode_call(message: Column) -> Column:
-    """struct<method, params, error> of a methodCall."""
-    names = F.regexp_extract_all(message, F.lit(r"<methodName>\s*([^<]*?)\s*</methodName>"), F.lit(1))
-    error = (
-        F.when(~codec.root_is(message, "methodCall"), "ExpectedMethodCall")
-        .when(F.size(names) == 0, "MissingMethodName")
-        .when(F.size(names) > 1, "DuplicateMethodName")
-        .when(F.regexp_count(message, F.lit("<params[ />]|<params>")) > 1, "DuplicateParams")
-    )
-    return F.struct(F.when(error.isNull(), escape.unescape(F.get(names, 0))).alias("method"), F.when(error.isNull(), param_values(message)).alias("params"), error.alias("error"))
+    """struct<method, params, error> of a methodCall, params being values of any depth."""
+
+    def decoded(rows: Column) -> Column:
+        def told(x: Column) -> Column:
+            error = (
+                F.when(~F.get(rows, 0)["tag"].eqNullSafe("methodCall"), "ExpectedMethodCall").when(F.size(x["names"]) == 0, "MissingMethodName").when(F.size(x["names"]) > 1, "DuplicateMethodName")
+                .when(_count(rows, "params") > 1, "DuplicateParams").when(_unread(x["params"]), "InvalidValue")
+            )
+            return bound(error, lambda e: F.struct(F.when(e.isNull(), F.get(x["names"], 0)).alias("method"), F.when(e.isNull(), x["params"]).alias("params"), e.alias("error")))
+
+        return bound(F.struct(F.coalesce(_texts(rows, "methodName"), F.array().cast("array<string>")).alias("names"), _params(rows).alias("params")), told)
+
+    return bound(pieces(message), decoded)
 
 
 def decode_response(message: Column) -> Column:
     """struct<ok, params, fault_code, fault_string, error> of a methodResponse."""
-    is_fault = message.rlike(r"<methodResponse>\s*<fault>")
-    m = members(message)
-    error = F.when(~codec.root_is(message, "methodResponse"), "ExpectedMethodResponse").when(~is_fault & ~message.contains("<params"), "ParamsOrFaultExpected")
-    return F.struct(
-        F.when(error.isNull(), ~is_fault).alias("ok"),
-        F.when(error.isNull() & ~is_fault, param_values(message)).alias("params"),
-        F.when(error.isNull() & is_fault, as_int(F.try_element_at(m, F.lit("faultCode")))).alias("fault_code"),
-        F.when(error.isNull() & is_fault, as_string(F.try_element_at(m, F.lit("faultString")))).alias("fault_string"),
-        error.alias("error"),
-    )
+
+    def decoded(rows: Column) -> Column:
+        def told(x: Column) -> Column:
+            fault = _count(rows, "fault") > 0
+            code, text = (F.try_element_at(x["members"], F.lit(k)) for k in ("faultCode", "faultString"))
+            error = F.when(~F.get(rows, 0)["tag"].eqNullSafe("methodResponse"), "ExpectedMethodResponse").when(~fault & (_count(rows, "params") == 0), "ParamsOrFaultExpected").when(_unread(x["params"]), "InvalidValue")
+            return bound(error, lambda e: F.struct(F.when(e.isNull(), ~fault).alias("ok"), F.when(e.isNull() & ~fault, x["params"]).alias("params"), F.when(e.isNull() & fault, as_int(code)).alias("fault_code"), F.when(e.isNull() & fault, as_string(text)).alias("fault_string"), e.alias("error")))
+
+        return bound(F.struct(_params(rows).alias("params"), F.when(_count(rows, "fault") > 0, _members(rows)).alias("members")), told)
+
+    return bound(pieces(message), decoded)
 
 
 def receive(status: Column, content_type: Column, body: Column) -> Column:

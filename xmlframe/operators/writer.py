@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.escape import escape
+from . import events
 
 
 def attribute(name: str, value: Column, mode: str = "default") -> Column:
@@ -49,30 +50,44 @@ def _attributes(attrs: Column, mode: str) -> Column:
     return F.array_join(F.transform(attrs, lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), escape(a["value"], mode), F.lit('"'))), "")
 
 
+FORMS = {"compact": "content", "normal": "normal", "canonical": "default"}
+
+
+def _piece(form: str, kind: Column, token: Column, empty: Column, depth: Column, name: Column, attrs: Column, text: Column) -> Column:
+    """The text of one event; see `serialize`."""
+    plain = FORMS[form]
+    breaks = lambda c: F.replace(F.replace(F.replace(c, F.lit("\n"), F.lit("&#10;")), F.lit("\t"), F.lit("&#9;")), F.lit("\r"), F.lit("&#13;"))
+    shown = F.when((depth > 0) | F.lit(form == "compact"), escape(text, plain)).otherwise("")
+    inside = _attributes(F.array_sort(attrs) if form == "canonical" else attrs, "attr_quot" if form == "compact" else plain)
+    if form == "canonical":  # of the five, the apostrophe stays as it is
+        shown, inside = (breaks(F.replace(c, F.lit("&apos;"), F.lit("'"))) for c in (shown, inside))
+    head = F.concat(F.lit("<"), name, F.coalesce(inside, F.lit("")))
+    start = F.when(empty, F.concat(head, F.lit("/>") if form == "compact" else F.concat(F.lit("></"), name, F.lit(">")))).otherwise(F.concat(head, F.lit(">")))
+    data = F.coalesce(F.concat(F.lit(" "), text), F.lit(" " if form == "canonical" else ""))
+    out = F.when(kind == "STAG", start).when(kind == "ETAG", F.concat(F.lit("</"), name, F.lit(">"))).when(kind == "CHARACTERS", shown).when(kind == "PI", F.concat(F.lit("<?"), name, data, F.lit("?>")))
+    if form == "canonical":
+        out = out.when((kind == "XML_DECL") & ~token.rlike("version\\s*=\\s*[\"']1\\.0[\"']"), token)
+    else:
+        out = out.when(kind == "COMMENT", F.concat(F.lit("<!--"), text, F.lit("-->"))).when(kind.isin("XML_DECL", "DTD"), token)
+    return F.coalesce(out, F.lit(""))
+
+
+def rewritten(text: Column, form: str = "normal") -> Column:
+    """A document written anew in a form of `serialize`, within its row; null for null and empty texts."""
+    piece = lambda e: _piece(form, e["kind"], e["token"], e["empty"], e["depth"], events.name_of(e["kind"], e["token"]), events.attributes(e["token"]), events.text_of(e["kind"], e["token"]))
+    return F.when(F.char_length(text) > 0, F.array_join(F.transform(events.located(text), piece), ""))
+
+
 def serialize(rows: DataFrame, form: str = "normal") -> DataFrame:
-    """(doc_id, xml): events as text again.
+    """(doc_id, xml): events as text again, also those that were filtered or changed; `rewritten` does the same
+    for unchanged documents without gathering their events.
 
     form `compact` escapes little and keeps empty tags; `normal` escapes all five and what is not ASCII,
     writes both tags, and keeps declaration, comments and PIs; `canonical` writes both tags, CR, LF and tab
     as references, PIs with a space behind the target, attributes by name, and drops comments, DOCTYPEs
     and declarations of version 1.0."""
-    plain = {"compact": "content", "normal": "normal", "canonical": "default"}[form]
-    breaks = lambda c: F.replace(F.replace(F.replace(c, F.lit("\n"), F.lit("&#10;")), F.lit("\t"), F.lit("&#9;")), F.lit("\r"), F.lit("&#13;"))
-    text = F.when((F.col("kind") == "CHARACTERS") & ((F.col("depth") > 0) | F.lit(form == "compact")), escape(F.col("text"), plain)).otherwise("")
-    attrs = F.array_sort("attrs") if form == "canonical" else F.col("attrs")
-    inside = _attributes(attrs, "attr_quot" if form == "compact" else plain)
-    if form == "canonical":
-        text, inside = breaks(text), breaks(F.replace(F.replace(inside, F.lit("&apos;"), F.lit("'")), F.lit("&gt;"), F.lit("&gt;")))
-        text = F.replace(F.replace(text, F.lit("&apos;"), F.lit("'")), F.lit("&quot;"), F.lit("&quot;"))
-    head = F.concat(F.lit("<"), F.col("name"), F.coalesce(inside, F.lit("")))
-    start = F.when(F.col("empty"), F.concat(head, F.lit("/>") if form == "compact" else F.concat(F.lit("></"), F.col("name"), F.lit(">")))).otherwise(F.concat(head, F.lit(">")))
-    data = F.coalesce(F.concat(F.lit(" "), F.col("text")), F.lit(" " if form == "canonical" else ""))
-    piece = F.when(F.col("kind") == "STAG", start).when(F.col("kind") == "ETAG", F.concat(F.lit("</"), F.col("name"), F.lit(">"))).when(F.col("kind") == "CHARACTERS", text).when(F.col("kind") == "PI", F.concat(F.lit("<?"), F.col("name"), data, F.lit("?>")))
-    if form != "canonical":
-        piece = piece.when(F.col("kind") == "COMMENT", F.concat(F.lit("<!--"), F.col("text"), F.lit("-->"))).when(F.col("kind").isin("XML_DECL", "DTD"), F.col("token"))
-    else:
-        piece = piece.when((F.col("kind") == "XML_DECL") & ~F.col("token").rlike("version\\s*=\\s*[\"']1\\.0[\"']"), F.col("token"))
-    out = rows.select("doc_id", "pos", F.coalesce(piece, F.lit("")).alias("piece"))
+    names = ("kind", "token", "empty", "depth", "name", "attrs", "text")
+    out = rows.select("doc_id", "pos", _piece(form, *[F.col(c) for c in names]).alias("piece"))
     return out.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("xml"))
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.events import check
+from ..operators.events import first_error
 from ..operators.tree import string_values, tree
 
 
@@ -104,16 +104,23 @@ def select(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Steps
     return Steps(tree(docs, doc_id, text))
 
 
-def evaluate(docs: DataFrame, expression: str, kind: str = "string", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, result) of an XPath 1.0 expression over each well-formed document; null for others. kind:
-    string, number, boolean or strings. Documents with a DOCTYPE are not evaluated, so no entity is
+KINDS = {"string": F.xpath_string, "number": F.xpath_number, "boolean": F.xpath_boolean, "strings": F.xpath}
+
+
+def evaluate_all(docs: DataFrame, expressions: dict[str, tuple[str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, a column for each expression) of XPath 1.0 expressions over each well-formed document; null
+    for others. expressions: the column's name, to the expression and its kind - string, number, boolean or
+    strings. A document is read and checked once. Those with a DOCTYPE are not evaluated, so no entity is
     expanded. Prefixes are not bound: use Steps for namespaces."""
-    function = {"string": F.xpath_string, "number": F.xpath_number, "boolean": F.xpath_boolean, "strings": F.xpath}[kind]
-    good = check(docs, doc_id, text, "simple").filter("ok").select(F.col("doc_id").alias("_id"))
-    # The join keeps the functions from seeing a document that would make them fail.
-    safe = docs.join(good, F.col(doc_id) == F.col("_id"), "left").withColumn("_text", F.when(F.col("_id").isNotNull(), F.col(text)).otherwise("<e/>"))
-    result = function(F.col("_text"), F.lit(expression))
-    return safe.select(F.col(doc_id).alias("doc_id"), F.when(F.col("_id").isNotNull(), result).alias("result"))
+    checked = docs.select(F.col(doc_id).alias("_id"), F.when(F.col(text).isNotNull() & first_error(F.col(text), "simple").isNull(), F.col(text)).alias("_good"))
+    # What fails the check is replaced before the functions see it.
+    values = [F.when(F.col("_good").isNotNull(), KINDS[kind](F.coalesce("_good", F.lit("<e/>")), F.lit(x))).alias(name) for name, (x, kind) in expressions.items()]
+    return checked.select(F.col("_id").alias("doc_id"), *values)
+
+
+def evaluate(docs: DataFrame, expression: str, kind: str = "string", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, result) of one expression; see `evaluate_all`."""
+    return evaluate_all(docs, {"result": (expression, kind)}, doc_id, text)
 
 
 # Coercions and the function library, as columns. Arity and types are checked when the plan is made.

@@ -1,5 +1,5 @@
-"""Documents on streams. Operators that look at one row at a time run as they are; those with windows
-over a document's events run in foreachBatch, a document being whole in one batch."""
+"""Documents on streams. Operators that look at one row at a time, checks and events among them, run as they
+are; those with windows over a document's events run in foreachBatch, a document being whole in one batch."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.codec import OPTIONS
-from ..operators.events import tokenize
+from ..operators.events import tag_name, tokenize
 
 
 def read_records(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str) -> DataFrame:
@@ -20,7 +20,7 @@ def read_records(spark: SparkSession, path: str, row_tag: str, schema: T.StructT
 def tag_counts(stream: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Running counts of element names; the state holds a row for each name."""
     rows = tokenize(stream, doc_id, text).filter(F.col("token").rlike(r"\A<[^!?/]"))
-    return rows.groupBy(F.regexp_extract("token", r"\A<([^\s/>]*)", 1).alias("name")).agg(F.count("*").alias("n_elements"))
+    return rows.groupBy(tag_name(F.col("token")).alias("name")).agg(F.count("*").alias("n_elements"))
 
 
 def by_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
