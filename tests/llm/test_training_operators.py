@@ -466,4 +466,22 @@ def test_vectors(spark, sf_dir, cell, block, monkeypatch):
     for i, r in got.items():
         assert i is None or (r["n_links"], r["component_id"], r["kept"]) == (counts[i], want[i], want[i] == i), i
     assert tuple(got[None]) == (None, 0, None, False)
+
+
+def test_vectors_of_repeated_ids(spark):
+    a, b = [1.0, 0.0], [0.99, 0.05]
+    table = [(1, a, None), (1, a, 5), (2, b, 5), (None, a, 5), (None, a, 5), (3, [0.0, 1.0], 5), (3, a, 6), (4, b, 6), (4, b, 6)]
+    for kind in ("float", "double"):
+        vectors = spark.createDataFrame(table, f"vec_id long, embedding array<{kind}>, label int").withColumns({c: F.lit(7) for c in ("node", "id", "n", "link", "v", "size", "component")})
+        got = Counter(rows(metric_join.embedding_duplicates(vectors)))
+        assert got == Counter([(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False), (None, 0, None, False), (3, 0, 3, True), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False)])
+    with pytest.raises(ValueError):
+        metric_join.near_duplicates(spark.createDataFrame([(1, [1], 1)], "id long, embedding array<int>, label int"))
+    # In single precision the first pair would round to the threshold; in double it is below.
+    x = np.array([1.0, 0.0]), np.array([0.93 - 1e-10, np.sqrt(1 - (0.93 - 1e-10) ** 2)]), np.array([0.93 + 1e-10, np.sqrt(1 - (0.93 + 1e-10) ** 2)])
+    close = spark.createDataFrame([(k, [float(c) for c in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert {(r["vec_id"], r["n_links"]) for r in metric_join.embedding_duplicates(close).collect()} == {(0, 1), (1, 1), (2, 2)}
+
+
+def test_no_vectors(spark):
     assert rows(metric_join.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))) == []

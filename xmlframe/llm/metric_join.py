@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 #: Vectors that a cell should be home of; pivots of all labels together; rows in a block.
@@ -29,9 +29,9 @@ CELL, PIVOTS, BLOCK = 4096, 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, label, size, v) of the vectors that can have links."""
+    """(id, label, size, v) of the vectors that can have links, components of their own type."""
     good = vectors.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-    good = good.select("id", "label", F.size("embedding").alias("size"), F.col("embedding").cast("array<float>").alias("v"))
+    good = good.select("id", "label", F.size("embedding").alias("size"), F.col("embedding").alias("v"))
     good = good.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     return good.filter(F.exists("v", lambda x: x != 0))
 
@@ -75,13 +75,22 @@ def cells(v: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
-    """(id, n_links, component) of each id in vectors (id long, label, embedding array<float>).
-
-    Links join different ids of the same label whose vectors have equal length and cosine >= `cosine` in
-    double precision. Null ids, labels and vectors, zero vectors and those with null or non-finite
-    components have no links. Of rows with one id the one with the smallest (label, embedding) counts. Ids
-    without links are their own components. An empty table gives an empty result."""
-    one = materialize(vectors.groupBy("id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("id", "x.label", "x.embedding"), "vectors")
+    """(id, n_links, component): a row for each row of vectors (id long, label, embedding array<float> or
+    array<double>).
+
+    Links join rows of the same label whose vectors have equal length and cosine >= `cosine` in double
+    precision, components taken as they are. Null labels and vectors, zero vectors and those with null or
+    non-finite components have no links. Rows with one id are vectors of their own: each counts as another
+    vector, all are of one component, and what one links to the others reach. A null id has no links, and its
+    component is null. Ids without links are their own components. Columns of other names are not looked at. An
+    empty table gives an empty result."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    if kind not in ("float", "double"):
+        raise ValueError(f"vectors of {kind}")
+    wide = np.float64 if kind == "double" else np.float32
+    # The rows are the nodes, so that no row of a repeated id is lost. The numbers are written and so stay.
+    rows = materialize(vectors.select(F.monotonically_increasing_id().alias("node"), "id", "label", "embedding"), "vectors")
+    one = rows.select(F.when(F.col("id").isNotNull(), F.col("node")).alias("id"), "label", "embedding")
     good = usable(one)
     pivots = choose_pivots(good)
     eps = float(np.sqrt(2 - 2 * cosine))
@@ -93,7 +102,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         for batch in batches:
             frame = batch.to_pandas()
             for (label, size), part in frame.groupby(["label", "size"], sort=False):
-                v = np.stack(part["v"].tolist())
+                v = np.stack(part["v"].tolist()).astype(wide, copy=False)
                 p = shared.value.get((label, size))
                 home, held = cells(unit(v), p, eps) if p is not None else (np.zeros(len(v), int), np.ones((len(v), 1), bool))
                 yield part["id"].to_numpy(np.int64), label, size, v, home, held
@@ -123,27 +132,32 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"label": [label] * len(rows), "size": pa.array([size] * len(rows), pa.int32()), "cell": pa.array([cell] * len(rows), pa.int32()), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "home": np.arange(len(rows)) < len(mine) * all_, "id": ids[rows], "v": _bytes(v[rows])})
 
     dealt = keyed.mapInArrow(deal, "label string, size int, cell int, a int, b int, home boolean, id long, v binary")
-    found = materialize(dealt.groupBy("label", "size", "cell", "a", "b").applyInPandas(_join_blocks(cosine), "id long, n long, link long"), "vector-links")
+    found = materialize(dealt.groupBy("label", "size", "cell", "a", "b").applyInPandas(_join_blocks(cosine, wide), "id long, n long, link long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    linked = components(found.filter("link <> id").select(F.col("id").alias("a"), F.col("link").alias("b")))
-    out = one.select("id").join(counts, "id", "left").join(linked, "id", "left")
-    return out.select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    # Links of nodes become links of ids; those that only join rows of one id go.
+    named = rows.select(F.col("node"), F.col("id").alias("name"))
+    links = found.filter("link <> id").select("id", "link").join(named.select(F.col("node").alias("id"), F.col("name").alias("a")), "id").join(named.select(F.col("node").alias("link"), F.col("name").alias("b")), "link")
+    linked = components(links.select("a", "b"))
+    out = rows.select("node", "id").join(counts.select(F.col("id").alias("node"), "n"), "node", "left").join(linked, "id", "left")
+    out = materialize(out.select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-components")
+    discard(rows, found)
+    return out
 
 
 def _bytes(v: np.ndarray) -> pa.Array:
-    """Each row's numbers in single precision, as the table has them."""
-    v = np.ascontiguousarray(v, np.float32)
-    ends = np.arange(len(v) + 1, dtype=np.int32) * (4 * v.shape[1])
+    """Each row's numbers, as the table has them."""
+    v = np.ascontiguousarray(v)
+    ends = np.arange(len(v) + 1, dtype=np.int32) * (v.itemsize * v.shape[1])
     return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends), pa.py_buffer(v)])
 
 
-def _join_blocks(cosine: float):
+def _join_blocks(cosine: float, wide: type):
     def join(group: pd.DataFrame) -> pd.DataFrame:
         mine, held = group[group["home"]], group[~group["home"]]
         if not len(mine) or not len(held):
             return pd.DataFrame({"id": [], "n": [], "link": []}).astype("int64")
         ia, ib = mine["id"].to_numpy(), held["id"].to_numpy()
-        va, vb = (unit(np.frombuffer(b"".join(side["v"]), np.float32).reshape(len(side), -1)) for side in (mine, held))
+        va, vb = (unit(np.frombuffer(b"".join(side["v"]), wide).reshape(len(side), -1)) for side in (mine, held))
         near = (va @ vb.T >= cosine) & (ia[:, None] != ib)
         # The smallest id that links of this group reach, for all rows of both blocks.
         la, lb, none = ia.copy(), ib.copy(), np.iinfo(np.int64).max
