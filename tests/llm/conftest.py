@@ -15,6 +15,12 @@ ODD = [
     (None, "no id here at all but some words", "en", "c", 32),
     (900010, "word " * 30_000, "en", "c", 150_000),
 ]
+#: Names that operators use inside, or for what they add.
+USED = (
+    "id", "size", "k", "node", "label", "s", "row", "n", "score", "h", "lang_pred", "n_lines", "n_kept", "before", "after", "ids", "decoded", "media", "media_type", "media_length", "corrected", "embedded",
+    "row_id", "passes", "picks", "taken_text", "target", "taken", "component", "rep", "k1", "held_out", "predicted", "toxic", "fold", "grams", "line", "counts", "drops", "x", "y", "a", "b", "p", "at",
+    "_size", "_row", "_text", "_lang", "_score", "_n_lines", "_n_kept", "_has_blank", "_drops", "_counts", "_had", "_keep", "_first", "_in_0", "_in_1", "in_0",
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -32,7 +38,7 @@ def docs(spark, sf_dir):
         near.append((910000 + k, " ".join(words), "en", "near", len(t)))
         near.append((920000 + k, t.replace("e", "i", 2), "en", "near", len(t)))
     out = real.unionByName(spark.createDataFrame(ODD + near, SCHEMA))
-    return out.withColumns({c: F.lit(7) for c in ("id", "size", "k", "node", "label", "s", "row", "n", "score", "h")})
+    return out.withColumns({c: F.lit(7) for c in USED})
 
 
 @pytest.fixture(scope="session")

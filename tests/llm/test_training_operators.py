@@ -122,12 +122,30 @@ def test_mixing(spark, docs, none):
 
 def test_mix_texts_take_what_is_counted(spark, docs, none):
     out = source_mixing.mix_texts(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and out.filter("_size <> 7 or _text <> 7 or picks <> 7 or passes <> 7 or row_id <> 7").isEmpty()
     words = sum(len(WORD.findall(r[0] or "")) for r in out.select("text").collect())
     assert words == source_mixing.mixed_taken(docs).agg(F.sum("taken")).first()[0]
     assert rows(source_mixing.mix_texts(none)) == []
 
 
+def test_blocks_are_picked_all_over_a_shard(spark):
+    """A quota is no run of blocks: of many words of one source, what is picked is spread over their length."""
+    docs = spark.createDataFrame([(1, "w " * 48_000, "a"), (2, "w " * 2_000, "b")], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in source_mixing.mix(docs).collect()}
+    picks = [(p["from"], p["to"]) for p in found[1]["picks"]]
+    whole = 48_000 // 16
+    assert 0.4 * whole < len(picks) < 0.6 * whole if found[1]["passes"] == 1 else picks
+    gaps = Counter(b[0] - a[0] for a, b in zip(picks, picks[1:], strict=False))
+    assert len(gaps) > 5 and gaps[16] < 0.7 * len(picks)
+
+
+def test_rows_without_an_id_spread(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "SHARD_ROWS", 20)
+    docs = spark.createDataFrame([(None, f"word{k} " * (k % 7 + 60), "a") for k in range(200)] + [(5, f"other{k} " * 50, "a") for k in range(100)], "doc_id long, text string, source string")
+    got = source_mixing.mixed_taken(docs).collect()
+    assert len(got) == 300 and sum(r["taken"] for r in got) == pytest.approx(got[0]["target"], rel=0.02)
+
+
 def test_shard_tree_keeps_the_seats(spark, monkeypatch):
     monkeypatch.setattr(source_mixing, "FAN", 4)
     shards = spark.createDataFrame([(0, n, 10 + n, 2 + n // 5) for n in range(50)] + [(1, n, 7, 9) for n in range(3)], "k int, node long, words long, blocks long")
@@ -150,6 +168,23 @@ def test_sentencepiece_as_the_library(spark, docs, none, library):
         assert r["ids"] == library.encode(r["text"] or "", num_threads=1) + [2] and r["decoded"] == library.decode(r["ids"])
 
 
+def test_sentencepiece_columns(spark, docs):
+    few = docs.limit(5)
+    both = decode_ids(encode_ids(few, MODEL), MODEL)
+    assert sorted(both.columns) == sorted(few.columns) and both.count() == 5
+
+
+def test_chunks_are_forgotten(library, monkeypatch):
+    from xmlframe.llm import sentencepiece_bpe
+
+    monkeypatch.setattr(sentencepiece_bpe, "CHUNKS_KEPT", 4)
+    table = PrefixTable(MODEL)
+    for k in range(60):
+        text = f"a{k} \x00{k} ￾ b{k}"
+        assert table.digest(text)[2] == sha(library.decode(library.encode(text, num_threads=1) + [2]))
+    assert len(table.known) + len(table.older) < 40
+
+
 def test_sentencepiece_on_random_texts(library):
     table, rng = PrefixTable(MODEL), random.Random(1)
     parts = ["▁", " ", "  ", "\n", "\t", "a", "e", "th", "ing", "é", "ß", "☃", "😀", "\x00", "the", " of", "0", "12", "<s>", "\r\n", "ﬁ", "漢", "字", "'s", "....", "    ", "aaaa", "-", "�"]
@@ -377,7 +412,7 @@ def test_lines(spark, docs, none):
     assert got == brute_lines(rows(few.select("doc_id", "text")))
     assert rows(line_dedup.line_digests(none)) == []
     out = line_dedup.unrepeated(docs)
-    assert out.columns == docs.columns and out.filter("doc_id = 900003").count() == 1
+    assert out.columns == docs.columns and out.filter("_n_lines <> 7 or n_kept <> 7 or _in_0 <> 7 or before <> 7").isEmpty() and out.filter("doc_id = 900003").count() == 1
 
 
 def test_automaton(spark):
@@ -412,6 +447,11 @@ def test_media_round_trip(spark, docs, none):
         assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_bytes"] == len(payload) + 44 and r["feature"].startswith("audio/wav")
         assert r["media_sha256"] == hashlib.sha256(media_sniff.wav(payload)).hexdigest()
     assert rows(media_sniff.media_columns(none)) == []
+    # The three operators one by one give the same.
+    apart = media_sniff.media_features(media_sniff.sniff(media_sniff.store_as_wav(docs), "media", "declared"))
+    assert Counter(rows(apart)) == Counter(rows(media_sniff.media_columns(docs).select(*apart.columns)))
+    assert media_sniff.media_columns(docs).filter("media_type <> 'audio/wav' or not corrected or embedded is null").isEmpty()
+    assert set(media_sniff.sniff(docs.withColumn("media", F.encode("text", "utf-8"))).columns) == set(docs.columns) | {"media"}
 
 
 def test_sniffing(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,9 +16,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the setting is absent."""
+    """The folder that spark.checkpoint.dir names. Where it is unset: a temporary folder if driver and executors are
+    one process (local mode); on a cluster that is an error, for executors could not read it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(?:\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -31,9 +35,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
+    _written.append(table)
     return table
 
 
+_written: list[DataFrame] = []
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, written as a table; the tables that were written on the way to it are deleted."""
+    before = len(_written)
+    out = materialize(make(), name)
+    discard(*_written[before:-1])
+    del _written[before:-1]
+    return out
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, or the name with as many underscores in front as make it none of those taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more: what was made of them must be written."""
     for table in tables:

@@ -184,7 +184,9 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the language of each whole text and a score from 0 to 1. Null texts, texts without a letter and
-    all texts if there is no model are `und` with score 0. Columns of docs stay."""
+    all texts if there is no model are `und` with score 0. Columns of docs stay, but those with the names of the
+    two new ones give way."""
+    docs = docs.drop(prediction, score)
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
     at = names.index(text)
 
@@ -206,6 +208,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", predictio
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every whole text; learned from rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score) of every whole text; learned from rows that are not held out. Rows with
+    one id, or none, are rows of their own."""
     held = docs.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "text")
     return identify(held, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")

@@ -2,7 +2,7 @@
 
 A line that is not blank stays where it occurs first - in the document with the smallest id, and there at
 its first place - and goes everywhere else. A line of at least LEAST characters also goes if a line of an
-earlier document is within EDITS edits; of two such lines of one document the longer goes, or else the
+earlier document that has as many is within EDITS edits; of two such lines of one document the longer goes, or else the
 one later in code point order.
 
 Near lines are found by a segment-partition join. A line is cut into EDITS + 1 even segments. Two lines
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, discard, materialize
+from .common import bound, discard, free, materialize
 
 EDITS, LEAST = 2, 32
 #: Hashes of near lines, or drops, up to which a table is broadcast instead of the texts' being shuffled.
@@ -163,12 +163,12 @@ def _near_drops(docs: DataFrame) -> DataFrame:
     return drops
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with lines removed from the text, and the columns _n_lines and _n_kept: lines before and after.
-    Rows with one id count as one document; a null id as the last. Null and empty texts stay; blank lines
-    stay, white space in other lines counts. An empty table gives an empty result."""
-    taken = {id_column, text}
-    rows = docs.select(F.coalesce(F.col(id_column), F.lit(LAST_ID)).cast("long").alias("id"), F.col(text).alias("text"), F.col(id_column).alias("_own_id"), *[F.col(c).alias(f"_in_{c}") for c in docs.columns if c not in taken])
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", before: str = "n_lines", after: str = "n_kept") -> DataFrame:
+    """docs with lines removed from the text, and the columns `before` and `after`, the numbers of lines; columns
+    of docs with these names give way. Rows with one id count as one document; a null id as the last. Null and
+    empty texts stay; blank lines stay, white space in other lines counts. An empty table gives an empty result."""
+    own = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c not in (text, before, after)}
+    rows = docs.select(F.coalesce(F.col(id_column), F.lit(LAST_ID)).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(name) for c, name in own.items()])
     rows = rows.withColumn("_n_lines", F.when(F.col("text").isNotNull(), F.size(_lines())).otherwise(0))
     # Tells an empty text of which one blank line is left from one of which nothing is.
     rows = rows.withColumn("_has_blank", F.col("text").rlike(r"(?:^|\n)[ \t\r\x0b\x0c]*(?:\n|\z)"))
@@ -177,19 +177,20 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     near = _near_drops(once.select("id", "text", F.col("_counts").alias("counts")))
     out = _drop_lines(once.drop("_counts"), near, few=near.limit(FEW + 1).count() <= FEW)
     kept = F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.size(_lines())).otherwise(F.when(F.col("text").isNull(), 0).otherwise(F.col("_has_blank").cast("int")))
-    named = [F.col("_own_id").alias(c) if c == id_column else F.col("text").alias(c) if c == text else F.col(f"_in_{c}").alias(c) for c in docs.columns]
-    return out.select(*named, "_n_lines", kept.alias("_n_kept"))
+    named = [F.col("text").alias(c) if c == text else F.col(own[c]).alias(c) for c in docs.columns if c == text or c in own]
+    return out.select(*named, F.col("_n_lines").alias(before), kept.alias(after))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_kept, kept_sha256) of each row."""
+    """(doc_id, n_lines, n_kept, kept_sha256) of each row; see `dedup_lines` for nulls and repeated ids."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def unrepeated(docs: DataFrame) -> DataFrame:
     """docs with their lines deduplicated and n_chars taken anew; documents that had words and have none
     left, whole repeats of others, go."""
-    out = dedup_lines(docs).withColumn("_had", F.col("_n_lines") > F.col("_n_kept"))
-    out = out.filter(~(F.col("_had") & _blank(F.regexp_replace("text", "\n", " "))))
+    before, after = free("n_lines", docs.columns), free("n_kept", docs.columns)
+    out = dedup_lines(docs, before=before, after=after)
+    out = out.filter(~((F.col(before) > F.col(after)) & _blank(F.regexp_replace("text", "\n", " "))))
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])

@@ -197,13 +197,16 @@ def sniff_bytes(data: bytes) -> tuple[str | None, int, list[tuple[str, int, int]
     return top, length, embedded
 
 
+DECLARED = "application/octet-stream"
+EMBEDDED = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 SNIFFED = "media_type string, media_length long, corrected boolean, embedded array<struct<type:string,offset:long,length:long>>"
 
 
 def sniff(df: DataFrame, data: str = "media", declared: str | None = None) -> DataFrame:
     """Add media_type (null: unknown), media_length, corrected (the declared type was another) and
-    embedded to df. Null bytes give nulls and an empty list. The input's columns stay; df must not have
-    columns of the added names."""
+    embedded to df. Null bytes give nulls and an empty list. The input's columns stay, but those with the names
+    of the added ones give way."""
+    df = df.drop("media_type", "media_length", "corrected", "embedded")
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,7 @@ def sniff(df: DataFrame, data: str = "media", declared: str | None = None) -> Da
                     pa.array([x[0] for x in found], pa.string()),
                     pa.array([x[1] for x in found], pa.int64()),
                     pa.array([x[0] is not None and s is not None and s != x[0] for x, s in zip(found, said, strict=True)], pa.bool_()),
-                    pa.array([[{"type": t, "offset": o, "length": n} for t, o, n in x[2]] for x in found], pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))),
+                    pa.array([[{"type": t, "offset": o, "length": n} for t, o, n in x[2]] for x in found], EMBEDDED),
                 ],
                 [*names, "media_type", "media_length", "corrected", "embedded"],
             )
@@ -240,7 +243,12 @@ def wav_samples(media: bytes) -> bytes:
     return media[p + 8 : p + 8 + _u32(media, p + 4)]
 
 
-def store_as_wav(docs: DataFrame, id_column: str = "doc_id", text: str = "text", declared: str = "application/octet-stream") -> DataFrame:
+def padded(raw: bytes) -> bytes:
+    """Bytes with byte 32 behind them up to a positive multiple of UNIT."""
+    return raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT, b" ")
+
+
+def store_as_wav(docs: DataFrame, id_column: str = "doc_id", text: str = "text", declared: str = DECLARED) -> DataFrame:
     """(id, n_bytes, declared, media): the text's UTF-8 (null: none), padded with byte 32 to a positive
     multiple of 192, as the samples of a WAV file."""
 
@@ -248,7 +256,7 @@ def store_as_wav(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         for part in slices(batches, "text"):
             raw = [b or b"" for b in part.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array([declared] * len(raw)), pa.array([wav(b.ljust(max(1, -(-len(b) // UNIT)) * UNIT, b" ")) for b in raw], pa.binary())],
+                [part.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array([declared] * len(raw)), pa.array([wav(padded(b)) for b in raw], pa.binary())],
                 [id_column, "n_bytes", "declared", "media"],
             )
 
@@ -263,24 +271,48 @@ def media_features(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media"):
-            out = []
-            for i, n, media, kind, length, embedded in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if kind != "audio/wav" or length != len(media):
-                    raise ValueError(f"document {i}: stored bytes are {kind} of {length} bytes, not a whole WAV file")
-                payload = wav_samples(media)
-                x = np.frombuffer(payload, np.uint8)
-                step = np.abs(np.diff(x.astype(np.int16))).mean() if len(x) > 1 else 0.0
-                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind} samples={len(x)} mean={x.mean():.4f} step={step:.4f} embedded={len(embedded)}"))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            out = [features_of(*row) for row in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_feature_arrays(out)], [id_column, "n_bytes", *[name for name, _ in FEATURES]])
 
     kind = stored.schema[id_column].dataType.simpleString()
-    return stored.select(*columns).mapInArrow(work, f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select(*columns).mapInArrow(work, f"{id_column} {kind}, n_bytes long, {FEATURE_TYPES}")
+
+
+FEATURES = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+FEATURE_TYPES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def features_of(media: bytes, kind: str | None, length: int | None, embedded: list) -> tuple:
+    """The values of FEATURES of stored bytes, read back from them."""
+    if kind != "audio/wav" or length != len(media):
+        raise ValueError(f"stored bytes are {kind} of {length} bytes, not a whole WAV file of {len(media)}")
+    payload = wav_samples(media)
+    x = np.frombuffer(payload, np.uint8)
+    step = np.abs(np.diff(x.astype(np.int16))).mean() if len(x) > 1 else 0.0
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind} samples={len(x)} mean={x.mean():.4f} step={step:.4f} embedded={len(embedded)}"
+
+
+def _feature_arrays(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(FEATURES)]
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Store every whole text as media, sniff the stored bytes, read them back. No shuffle: three map
-    steps. Empty and null texts give one unit of spaces; equal texts give equal values; columns of docs
-    other than doc_id and text are not looked at."""
-    return media_features(sniff(store_as_wav(docs), "media", "declared"))
+    """Store every whole text as media, sniff the stored bytes, read them back: (doc_id, n_bytes, FEATURES,
+    media_type, corrected, embedded), corrected because the stored bytes are declared as a mere octet stream. What
+    `store_as_wav`, `sniff` and `media_features` do, in one map step. Empty and null texts give one unit of spaces;
+    equal texts give equal values; columns of docs other than doc_id and text are not looked at."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            out, sizes, found = [], [], []
+            for raw in part.column(1).cast(pa.binary()).to_pylist():
+                media = wav(padded(raw or b""))
+                kind, length, embedded = sniff_bytes(media)
+                sizes.append(len(raw or b""))
+                found.append((kind, embedded))
+                out.append(features_of(media, kind, length, embedded))
+            more = [pa.array([k for k, _ in found], pa.string()), pa.array([k is not None and k != DECLARED for k, _ in found], pa.bool_()), pa.array([[{"type": t, "offset": o, "length": n} for t, o, n in e] for _, e in found], EMBEDDED)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *_feature_arrays(out), *more], ["doc_id", "n_bytes", *[name for name, _ in FEATURES], "media_type", "corrected", "embedded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_bytes long, {FEATURE_TYPES}, media_type string, corrected boolean, embedded array<struct<type:string,offset:long,length:long>>")

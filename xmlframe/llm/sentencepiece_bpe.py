@@ -58,9 +58,9 @@ class PrefixTable:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.text = [None if i in self.byte_of else " ⁇ " if i == self.unknown else "" if i in self.silent else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.changed: dict[str, str] = {}
+        #: Chunks, to their ids as text and what these decode to, if that is not the chunk itself.
+        self.known: dict[str, tuple[str, str | None]] = {}
+        self.older: dict[str, tuple[str, str | None]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short text by its definition: the best adjacent pair, leftmost first, is merged."""
@@ -147,15 +147,14 @@ class PrefixTable:
         known, back = self.known, {}
         for c in set(parts):
             if c not in known:
-                if (joined := self.older.get(c)) is None:
+                if (found := self.older.get(c)) is None:
                     ids = self.encode_chunk(c)
-                    joined = " ".join(map(str, ids))
-                    if (decoded := self.decode_pieces(ids)) != c.replace(MARK, " "):
-                        self.changed[c] = decoded
-                known[c] = joined
-        joined = " ".join([*map(known.__getitem__, parts), str(self.end)])
-        if self.changed:
-            back = {c: self.changed[c] for c in set(parts) & self.changed.keys()}
+                    decoded = self.decode_pieces(ids)
+                    found = " ".join(map(str, ids)), decoded if decoded != c.replace(MARK, " ") else None
+                known[c] = found
+            if known[c][1] is not None:
+                back[c] = known[c][1]
+        joined = " ".join([*[known[c][0] for c in parts], str(self.end)])
         decoded = "".join([back.get(c, c) for c in parts] if back else parts).replace(MARK, " ")[1:]
         for c in [c for c in set(parts) if len(c) > LONGEST_KEPT]:
             del known[c]
@@ -193,7 +192,9 @@ def table(path: str) -> PrefixTable:
 
 
 def encode_ids(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each whole text, the end id last, as array<int>. Null text counts as empty."""
+    """Add the ids of each whole text, the end id last, as array<int>. Null text counts as empty. A column of
+    docs with the name of the new one gives way."""
+    docs = docs.drop(out)
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,8 @@ def encode_ids(docs: DataFrame, model: str, text: str = "text", out: str = "ids"
 
 
 def decode_ids(encoded: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the text that the ids decode to. Null ids give null."""
+    """Add the text that the ids decode to. Null ids give null. A column with the name of the new one gives way."""
+    encoded = encoded.drop(out)
     names = encoded.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

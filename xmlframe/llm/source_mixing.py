@@ -6,11 +6,12 @@
    `block` words: the seats of one apportionment, given to the sources by highest quotients.
 3. A source is dealt into shards by a hash of the id, so many that a shard stays small; its seats go
    down a tree of shards, at each node to at most FAN children by highest quotients.
-4. In a shard the documents lie end to end in a seeded order. A seeded permutation of the blocks picks
-   the shard's quota; a document's share is what the picked blocks cover of it, besides the passes.
+4. In a shard the documents lie end to end in a seeded order. The shard's quota are the blocks with the smallest
+   seeded hashes; a document's share is what the picked blocks cover of it, besides the passes.
 
-Only totals by source reach the driver. A shard holds about SHARD_WORDS words or SHARD_ROWS rows of one
-source, so a source with a third of all rows is many groups.
+Only totals by source reach the driver: a row for each source. A shard holds about SHARD_WORDS words or SHARD_ROWS
+rows of one source, so a source with a third of all rows is many groups; the hash that deals rows into shards is
+of id and text, so rows without an id, or with one id, spread too, unless they are wholly equal.
 """
 
 from __future__ import annotations
@@ -93,32 +94,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     Sources stand in code point order, null last, and weigh `weights` again and again. size is the number
     of words, 0 for null text. passes is the number of times that the mix takes the whole text; picks are
     the word ranges [from, to) that it takes once more; taken is the number of words of both. Rows with
-    equal ids are rows of their own. Documents without words are taken with 0 words; an empty table gives
-    an empty result. Columns of docs other than doc_id, source and text are not looked at."""
-    sized = docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), F.monotonically_increasing_id().alias("row_id"))
+    equal ids are rows of their own; reruns agree, also over other partitions, but for which of wholly equal rows
+    is which. Documents without words are taken with 0 words; an empty table gives an empty result. Columns of
+    docs other than doc_id, source and text are not looked at."""
+    sized = docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row_id"))
     return mix_sized(materialize(sized, "mix-sizes"), weights, share, most, block, seed)
 
 
 def mix_texts(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 16, seed: int = 42) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each pass over a document, and one more with
     the picked words of its text, white space behind them included, if there are some. Documents of which
-    nothing is taken go; those without words, of which there is nothing to take, stay once."""
-    whole = docs.withColumns({"_size": F.size(word_array(F.col("text"))).cast("long"), "_row": F.monotonically_increasing_id()})
+    nothing is taken go; those without words, of which there is nothing to take, stay once. Columns of any names
+    are kept, and n_chars is counted anew."""
+    own = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
+    whole = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()], F.size(word_array(F.col("text"))).cast("long").alias("size"), F.monotonically_increasing_id().alias("row_id"))
     whole = materialize(whole, "mix-rows")
-    mixed = mix_sized(whole.select("doc_id", "source", F.col("_size").alias("size"), F.col("_row").alias("row_id")), weights, share, most, block, seed)
-    rows = whole.join(mixed.select(F.col("row_id").alias("_row"), "passes", "picks"), "_row")
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    text = F.col(own["text"])
+    sized = whole.select(F.col(own["doc_id"]).alias("doc_id"), F.col(own["source"]).alias("source"), "size", F.xxhash64(text).alias("h"), "row_id")
+    rows = whole.join(mix_sized(sized, weights, share, most, block, seed).select("row_id", "passes", "picks"), "row_id")
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = lambda w: F.flatten(F.transform("picks", lambda p: F.slice(w, p["from"].cast("int") + 1, (p["to"] - p["from"]).cast("int"))))
     part = F.array_join(bound(words, cut), "")
     texts = F.concat(
-        F.array_repeat(F.col("text"), F.when(F.col("_size") > 0, F.col("passes")).otherwise(1)),
+        F.array_repeat(text, F.when(F.col("size") > 0, F.col("passes")).otherwise(1)),
         F.when(F.size("picks") > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
     )
-    return rows.withColumn("_text", F.explode(texts)).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    rows = rows.withColumn("taken_text", F.explode(texts))
+    made = {"text": F.col("taken_text")} | ({"n_chars": F.length("taken_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[made.get(c, F.col(name)).alias(c) for c, name in own.items()])
 
 
 def mix_sized(sized: DataFrame, weights: tuple[float, ...], share: float, most: int, block: int, seed: int) -> DataFrame:
-    """`mix` of a written table (row_id, doc_id, source, size)."""
+    """`mix` of a written table (row_id, doc_id, source, size, h), h being a hash of the text."""
     spark = sized.sparkSession
     totals = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -133,36 +140,37 @@ def mix_sized(sized: DataFrame, weights: tuple[float, ...], share: float, most:
         [(k, r[0], s, g, p, n, t) for k, (r, s, g, p, n, t) in enumerate(zip(totals, sizes, goal, passes, shards, seats, strict=True))],
         "k int, source string, source_size long, target double, passes int, n_shards long, parent_seats long",
     )
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)))
+    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)), "h")
     few = F.broadcast(sources) if len(totals) <= FEW_SOURCES else sources
     rows = sized.join(few, sized["source"].eqNullSafe(few["source"])).drop(few["source"])
     rows = rows.withColumn("order", order).withColumn("node", F.pmod(F.xxhash64("order"), F.col("n_shards")))
     leaves = rows.groupBy("k", "node").agg(F.sum("size").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block))
     quota = shard_quotas(leaves.filter("words > 0"), sources.select("k", "parent_seats"), depth)
-    place = Window.partitionBy("k", "node").orderBy("order", "doc_id", "size", "row_id")
+    place = Window.partitionBy("k", "node").orderBy("order", "doc_id", "h", "size", "row_id")
     whole = rows.withColumn("until", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("until") - F.col("size"))
-    leaf = leaves.join(quota, ["k", "node"], "left").select("k", "node", "blocks", F.coalesce("seats", F.lit(0)).alias("seats"))
+    # The hash of the last block that a shard's quota takes; null where it takes none.
+    hashes = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: _place(j, seed)))
+    leaf = leaves.join(quota, ["k", "node"], "left").select("k", "node", F.when(F.col("seats") > 0, F.get(hashes, F.col("seats").cast("int") - 1)).alias("last"))
     whole = whole.join(leaf, ["k", "node"])
-    picks = _picks(F.col("from"), F.col("until"), F.col("blocks"), F.col("seats"), block, seed)
+    picks = _picks(F.col("from"), F.col("until"), F.col("last"), block, seed)
     whole = whole.withColumn("picks", F.when(F.col("size") > 0, picks).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>")))
     extra = F.aggregate("picks", F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"])
     return whole.select("row_id", "doc_id", "source", "size", "source_size", "target", "passes", "picks", (F.col("passes") * F.col("size") + extra).alias("taken"))
 
 
-def _picks(start: Column, until: Column, blocks: Column, seats: Column, block: int, seed: int) -> Column:
+def _picks(start: Column, until: Column, last: Column, block: int, seed: int) -> Column:
     """Word ranges of a document at [start, until) of its shard that the picked blocks cover: those whose
-    place in a seeded order of the shard's blocks is below the shard's seats."""
-    first, last = F.floor(start / block), F.floor((until - 1) / block)
-    picked = F.filter(F.sequence(first, last), lambda j: _place(j, blocks, seed) < seats)
+    hash is not above that of the last one picked."""
+    first, end = F.floor(start / block), F.floor((until - 1) / block)
+    picked = F.filter(F.sequence(first, end), lambda j: F.coalesce(_place(j, seed) <= last, F.lit(False)))
     return F.transform(picked, lambda j: F.struct((F.greatest(j * block, start) - start).alias("from"), (F.least((j + 1) * block, until) - start).alias("to")))
 
 
-def _place(j: Column, blocks: Column, seed: int) -> Column:
-    """The place of block j in an order of the blocks 0 .. blocks - 1. Multiplying by a prime that does
-    not divide their number, and a shift, permute them."""
-    step = F.when(blocks % 2_147_483_647 == 0, F.lit(1)).otherwise(F.lit(2_147_483_647) % blocks)
-    return F.pmod(j * step + seed, blocks)
+def _place(j: Column, seed: int) -> Column:
+    """What block j of a shard is ordered by."""
+    return F.xxhash64(F.lit(seed), F.col("k"), F.col("node"), j)
 
 
 def mixed_taken(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of docs; see `mix` for nulls, ties and empty tables."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
