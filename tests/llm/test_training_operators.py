@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,6 +56,8 @@ def test_components(spark):
     got = dict(rows(components(spark.createDataFrame(links, "a long, b long"))))
     assert got == {n: c for n, c in want.items() if n in got} and all(n in got for e in links for n in e if e[0] != e[1])
     assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(links, "a long, b long"), rounds=1)
 
 
 # 1. Quality -------------------------------------------------------------------------------------
@@ -75,6 +78,30 @@ def test_quality(spark, docs, none, sf_dir):
     assert rows(quality_rules.quality_scores(none, labels)) == []
 
 
+def statistics_by_hand(text):
+    import regex
+
+    words, n = WORD.findall(text), len(text)
+    share = lambda kind: len(regex.findall(kind, text)) / max(n, 1)
+    return {
+        "chars": np.log1p(n), "words": np.log1p(len(words)), "word_chars": (n - len(words)) / max(len(words), 1), "letters": share(r"\p{L}"), "symbols": share(r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:!?'\"()-]"),
+        "digits": share(r"\p{N}"), "capitals": share(r"\p{Lu}"), "stops": share("[.!?]"), "commas": share("[,;:]"), "line_feeds": share("\n"),
+        "distinct": len(set(words)) / max(len(words), 1), "repeated": sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1),
+    }
+
+
+def test_quality_by_hand(spark, docs):
+    """Scores of odd and ordinary texts, by plain Python from the rules."""
+    model = quality_rules.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    table = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: (r["text"], r["score"]) for r in model.score(table).select("doc_id", "text", "score").collect()}
+    assert len(got) > 100 and len({round(s, 6) for _, s in got.values()}) > 1
+    for i, (text, score) in got.items():
+        stats = statistics_by_hand(text or "")
+        z = model.intercept + sum(r.weight for r in model.rules if all(stats[s] <= v if op == "<=" else stats[s] > v for s, op, v in r.conditions))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9, i
+
+
 # 2. Mixing --------------------------------------------------------------------------------------
 
 
@@ -341,6 +368,37 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language_kernel.language_of_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_by_hand(spark, docs):
+    """Kernel values, outputs and scores by plain Python from the landmarks and weights."""
+    model = language_kernel.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    place = {int(c): k for k, c in enumerate(model.landmarks.columns)}
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() and ord(c) < 0x32000 else " " for c in text.lower())
+        letters, out = re.sub(" +", " ", f" {letters} "), set()
+        for n in language_kernel.LENGTHS:
+            for k in range(len(letters) - n + 1):
+                h = 0
+                for c, m in zip(letters[k : k + n], language_kernel.MULTIPLIERS, strict=False):
+                    h = (h + ord(c)) * m % 2**32
+                h ^= h >> 15
+                out.add(((h * language_kernel.MULTIPLIERS[n - 1]) % 2**32 >> 8) % language_kernel.COLUMNS)
+        return out
+
+    table = docs.filter("length(text) < 5000 and doc_id is not null").dropDuplicates(["doc_id"])
+    seen = 0
+    for r in language_kernel.identify(table, model).select("doc_id", "text", "lang_pred", "score").collect():
+        if r["lang_pred"] == "und":
+            continue
+        found = grams(r["text"])
+        kernel = sum((model.landmarks.matrix[place[g]].astype(float) for g in found if g in place), np.zeros(model.landmarks.matrix.shape[1])) / np.sqrt(len(found))
+        outputs = kernel @ model.weights + model.offset
+        p = np.exp(4 * (outputs - outputs.max()))
+        assert r["lang_pred"] == model.languages[int(outputs.argmax())] and abs(r["score"] - 1 / p.sum()) < 1e-3, r["doc_id"]
+        seen += 1
+    assert seen > 100
+
+
 def test_language_is_learned_from_whole_texts(spark):
     same, words = "so " * 10_000, {"aa": "bread butter window", "bb": "kigo plyx zhuv"}
     docs = spark.createDataFrame([(k, same + words[lang], lang) for k in range(40) for lang in words], "doc_id long, text string, lang string")
@@ -479,6 +537,12 @@ def test_sniffing(spark):
             assert media_sniff.sniff_bytes(b"junk" + data + b"tail")[2] == [(kind, 4, len(data))], kind
         assert media_sniff.sniff_bytes(data[:-2])[0] != kind or kind in ("audio/flac", "video/mp4"), kind
     assert media_sniff.sniff_bytes(media_sniff.wav(b"xx" + png + b"y")) == ("audio/wav", 44 + len(png) + 3, [("image/png", 46, len(png))])
+    # An embedded FLAC has no length of its own: what stands behind its header is still found.
+    assert [x[0] for x in media_sniff.sniff_bytes(b"text" + flac + png)[2]] == ["audio/flac", "image/png"]
+    began = time.time()
+    for mark in (b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\0\x02", b"\x1f\x8b\x08", b"OggS", b"fLaC", b"BM", b"RIFF"):
+        assert media_sniff.sniff_bytes(mark * 200_000)[0] in (None, "audio/ogg")
+    assert time.time() - began < 60
     found = media_sniff.sniff(spark.createDataFrame([(1, bytearray(png), "image/jpeg"), (2, None, None), (3, bytearray(b"BM text"), "image/bmp")], "i int, media binary, said string"), "media", "said")
     assert [(r["media_type"], r["corrected"], r["embedded"]) for r in found.orderBy("i").collect()] == [("image/png", True, []), (None, False, []), (None, False, [])]
 

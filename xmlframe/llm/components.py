@@ -12,7 +12,8 @@ from .common import discard, materialize
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component) for each id in edges (a, b: long), component being the smallest id that links
     reach. Each round points larger neighbours, then smaller ones, at a node's smallest neighbour; when a
-    round changes nothing, every edge points at its component. Self-loops and repeats do no harm."""
+    round changes nothing, every edge points at its component. Self-loops and repeats do no harm. Rounds grow with
+    the logarithm of the longest path, so `rounds` is far from needed; not to be done by then is an error."""
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -25,7 +26,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small = _stars(large, smaller=True)
         old, now = now, materialize(small, "edges")
         discard(old)
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    else:
+        raise RuntimeError(f"components are not found in {rounds} rounds")
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out._written_to = now._written_to  # so that `discard` deletes the edges that it is read from
+    return out
 
 
 def _stars(seen: DataFrame, smaller: bool) -> DataFrame:

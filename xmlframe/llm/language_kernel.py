@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_remainder, materialize, slices, strings
+from .common import discard, free, id_remainder, materialize, slices, strings
 
 #: N-gram lengths; values that n-grams are hashed to; landmarks, and the least number for each language; ridge;
 #: labelled rows to fit on, at most about.
@@ -58,7 +58,8 @@ def _places(text: str) -> list[np.ndarray]:
         return []
     letter = _letters(codes)
     codes = np.where(letter, codes, 32)
-    codes = np.concatenate([[32], codes[letter | np.concatenate([[True], letter[:-1]])], [32]]).astype(np.uint64)
+    kept = codes[letter | np.concatenate([[False], letter[:-1]])]
+    codes = np.concatenate([[32], kept, [32] if len(kept) and kept[-1] != 32 else []]).astype(np.uint64)
     out = []
     for n in LENGTHS:
         h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
@@ -132,8 +133,9 @@ def fit_rows(docs: DataFrame, rows: int = FIT_ROWS, held_out: int = 1, folds: in
     if not counts:
         return known.limit(0)
     each = rows / len(counts)
-    parts = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n), first) for lang, n, first in counts], "lang string, _keep double, _first long")
-    chosen = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.col("_keep") * (1 << 20)) | (order == F.col("_first"))
+    keep, lowest = free("keep", docs.columns), free("lowest", docs.columns)
+    parts = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n), first) for lang, n, first in counts], f"lang string, {keep} double, {lowest} long")
+    chosen = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.col(keep) * (1 << 20)) | (order == F.col(lowest))
     return known.join(F.broadcast(parts), "lang").filter(chosen).select(*docs.columns)
 
 

@@ -42,7 +42,23 @@ def _u32(b: bytes, at: int, order: str = "<") -> int:
     return struct.unpack_from(order + "I", b, at)[0] if at + 4 <= len(b) else -1
 
 
-def _riff(b: bytes, at: int):
+class Finder:
+    """Where a mark comes next. Asked for places in ascending order, it reads the bytes once for each mark."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, {}
+
+    def __call__(self, mark: bytes, start: int) -> int:
+        last = self.at.get(mark)
+        if last is None or -1 < last < start:
+            last = self.at[mark] = self.data.find(mark, start)
+        return last
+
+
+# Validators: type and length of what starts at a place, or None; and, where the length is only that of what is
+# left, how much of it is certain.
+
+def _riff(b: bytes, at: int, find: Finder):
     size, kind = _u32(b, at + 4), b[at + 8 : at + 12]
     end = at + 8 + size
     if size < 4 or end > len(b) or kind not in (b"WAVE", b"WEBP", b"AVI "):
@@ -56,7 +72,7 @@ def _riff(b: bytes, at: int):
     return {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}[kind], end - at
 
 
-def _png(b: bytes, at: int):
+def _png(b: bytes, at: int, find: Finder):
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = _u32(b, p, ">"), b[p + 4 : p + 8]
@@ -68,7 +84,7 @@ def _png(b: bytes, at: int):
     return None
 
 
-def _jpeg(b: bytes, at: int):
+def _jpeg(b: bytes, at: int, find: Finder):
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
@@ -76,12 +92,12 @@ def _jpeg(b: bytes, at: int):
             return None
         p += 2 + n
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            end = b.find(b"\xff\xd9", p) if find(b"\xff\xd9", at) >= 0 else -1
             return None if end < 0 else ("image/jpeg", end + 2 - at)
     return None
 
 
-def _gif(b: bytes, at: int):
+def _gif(b: bytes, at: int, find: Finder):
     def blocks(p: int) -> int:
         while p < len(b) and b[p]:
             p += 1 + b[p]
@@ -102,38 +118,40 @@ def _gif(b: bytes, at: int):
     return None
 
 
-def _bmp(b: bytes, at: int):
+def _bmp(b: bytes, at: int, find: Finder):
     size, start = _u32(b, at + 2), _u32(b, at + 10)
     if _u32(b, at + 6) == 0 and _u32(b, at + 14) in (12, 40, 52, 56, 64, 108, 124) and 26 <= start <= size <= len(b) - at:
         return "image/bmp", size
     return None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end > 0 and b.find(b"startxref", at, end) > 0 else None
+def _pdf(b: bytes, at: int, find: Finder):
+    end = find(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at) if end > 0 and 0 < find(b"startxref", at) < end else None
 
 
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, find: Finder):
+    end = find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, start = struct.unpack_from("<II", b, end + 12)
     return ("application/zip", end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at) if at + start + size == end else None
 
 
-def _gzip(b: bytes, at: int):
-    d, p = zlib.decompressobj(31), at
+def _gzip(b: bytes, at: int, find: Finder):
+    if at + 10 > len(b) or b[at + 3] & 0xE0 or b[at + 3] & 0x18 and find(b"\0", at) < 0:
+        return None  # a reserved flag, or a name or comment that nothing ends
+    d, p, step = zlib.decompressobj(31), at, 256  # most places fail in their first bytes
     try:
         while p < len(b) and not d.eof:
-            d.decompress(b[p : p + 65536])
-            p += 65536
+            d.decompress(b[p : p + step])
+            p, step = p + step, min(2 * step, 65536)
     except zlib.error:
         return None
     return ("application/gzip", min(p, len(b)) - len(d.unused_data) - at) if d.eof else None
 
 
-def _ogg(b: bytes, at: int):
+def _ogg(b: bytes, at: int, find: Finder):
     p = at
     while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
         n = b[p + 26]
@@ -141,7 +159,7 @@ def _ogg(b: bytes, at: int):
     return ("audio/ogg", p - at) if at < p <= len(b) else None
 
 
-def _flac(b: bytes, at: int):
+def _flac(b: bytes, at: int, find: Finder):
     p, first = at + 4, True
     while p + 4 <= len(b):
         kind, n = b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
@@ -149,11 +167,11 @@ def _flac(b: bytes, at: int):
             return None
         last, p, first = b[p] >> 7, p + 4 + n, False
         if last:
-            return "audio/flac", len(b) - at  # frames carry no total; they run to the end
+            return "audio/flac", len(b) - at, p - at  # frames carry no total; they may run to the end
     return None
 
 
-def _mp4(b: bytes, at: int):
+def _mp4(b: bytes, at: int, find: Finder):
     p = at
     while p + 8 <= len(b) and b[p + 4 : p + 8].isalnum():
         n = _u32(b, p, ">")
@@ -183,17 +201,17 @@ def automaton():
 def sniff_bytes(data: bytes) -> tuple[str | None, int, list[tuple[str, int, int]]]:
     """Type and length of the media that starts the bytes (None, 0 if none does), and what is embedded
     behind or in it as (type, offset, length): leftmost first, none inside another embedded one."""
-    top, length, embedded, free = None, 0, [], 1
+    top, length, embedded, free, find = None, 0, [], 1, Finder(data)
     hits = [(end - back, kind) for end, (back, kind) in automaton().iter(data.decode("latin-1"))]
     for at, kind in sorted(hits):
         if at < 0 or at and at < free:
             continue
-        if found := VALIDATORS[kind](data, at):
+        if found := VALIDATORS[kind](data, at, find):
             if at == 0:
-                top, length = found
+                top, length = found[:2]
             else:
                 embedded.append((found[0], at, found[1]))
-                free = at + found[1]
+                free = at + found[-1]
     return top, length, embedded
 
 

@@ -140,7 +140,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     linked = components(links.select("a", "b"))
     out = rows.select("node", "id").join(counts.select(F.col("id").alias("node"), "n"), "node", "left").join(linked, "id", "left")
     out = materialize(out.select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-components")
-    discard(rows, found)
+    discard(rows, found, linked)
     return out
 
 

@@ -331,9 +331,11 @@ def _answer(info: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
     more = info.join(several, "id", "left_semi").filter("n > 0").join(sets.select("k1", "rep"), "k1").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.unionByName(more))
     labels = materialize(sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", F.coalesce("component", "rep").alias("component")), "jaccard-components")
-    rows = info.withColumn("k1", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("k1")))
-    out = rows.join(labels, "k1", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    discard(found)
+    # Rows that have no links do not meet in one join key: they are no part of the join.
+    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    out = info.filter(linked).join(labels, "k1").select("id", F.col("n").alias("n_shingles"), "component")
+    return out.unionAll(info.filter(~linked).select("id", "n", "id"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -69,7 +69,9 @@ class RuleEnsemble:
     intercept: float
 
     def score(self, df: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
-        """Add the score. The statistics are computed once, in a projection below the rules."""
+        """Add the score; a column of df with its name gives way. The statistics are computed once, in a
+        projection below the rules."""
+        df = df.drop(out)
         total = reduce(lambda a, r: a + F.when(r.column(), r.weight).otherwise(0.0), self.rules, F.lit(self.intercept))
         stats = prepared(df.select(*[F.col(c).alias(f"_in_{k}") for k, c in enumerate(df.columns)], F.col(text).alias("_text")), "_text").withColumns(statistics(F.col("_text")))
         return stats.select(*[F.col(f"_in_{k}").alias(c) for k, c in enumerate(df.columns)], (1 / (1 + F.exp(-total))).alias(out))

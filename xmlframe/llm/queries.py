@@ -26,42 +26,52 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of each whole document; null and empty texts score as an empty text."""
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document; null texts have none, equal ids are rows of their own."""
     return mixed_taken(_documents(spark, sf_dir))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each whole document and of their decoding; null texts count as empty."""
     return encode_digests(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set size and component of each document; rows of one id are one node, null ids and texts without words have no links."""
     return jaccard_components(_documents(spark, sf_dir))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each whole document; null texts count as empty."""
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's probabilities for each whole document, and what they predict; null texts count as empty."""
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole document; `und` for null texts and texts without a letter."""
     return language_of_documents(_documents(spark, sf_dir))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document before and after dedup; null ids count as the last document, rows of one id as one."""
     return line_digests(_documents(spark, sf_dir))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text stored as media, sniffed and read back; null texts count as empty."""
     return media_columns(_documents(spark, sf_dir))
 
 
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector; rows without a label or a usable vector have no links, rows of one id count each."""
     return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
