@@ -91,6 +91,14 @@ def test_tree_and_steps(spark):
     assert values(s.descendants("b").following_siblings("text()")) == ["z"] and values(s.children("r")) == ["", "xyztu"]
 
 
+def test_self_and_namespace_axes(spark):
+    s = xpath.select(docs(spark, "<r xmlns='d' xmlns:p='1'><p:a xmlns:p='2'><b xmlns=''/></p:a><c/></r>"))
+    assert [r["name"] for r in s.descendants().selves("c").rows().collect()] == ["c"] and s.descendants().selves("text()").rows().isEmpty()
+    of = lambda name: {(r["prefix"], r["uri"]) for r in s.descendants(name).namespaces().collect()}
+    xml = ("xml", names.XML_URI)
+    assert of("r") == of("c") == {("", "d"), ("p", "1"), xml} and of("p:a") == {("", "d"), ("p", "2"), xml} and of("b") == {("p", "2"), xml}
+
+
 def test_evaluate_guards_documents(spark):
     d = docs(spark, "<a><b>1</b><b>2</b></a>", "<a>", None, "<!DOCTYPE a [<!ENTITY x 'y'>]><a>&x;</a>")
     got = {r["doc_id"]: r["result"] for r in xpath.evaluate(d, "sum(//b)", "number").collect()}

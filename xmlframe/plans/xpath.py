@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import XML_URI
 from ..operators.events import first_error
 from ..operators.tree import string_values, tree
 
@@ -48,6 +49,20 @@ class Steps:
     def descendants_or_self(self, test: str | None = "*") -> Steps:
         return self._step(test, lambda c, t: (F.col("t.node_id") >= F.col("_node")) & (F.col("t.node_id") <= F.col("_end")))
 
+    def selves(self, test: str | None = "*") -> Steps:
+        """The nodes themselves, as far as they pass the test."""
+        return Steps(self.table, self.context.filter(self._test(test)))
+
+    def namespaces(self) -> DataFrame:
+        """(doc_id, node_id, prefix, uri): the namespaces in scope at each element, the predeclared `xml` among them.
+        prefix is empty for the default; where that is taken back, it has no row."""
+        bound_to = self.table.filter("node_type = 'element'").select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_from"), F.col("end_id").alias("_to"), F.explode("attrs").alias("a")).filter(F.col("a.name").rlike("\\Axmlns(?::|\\z)"))
+        bound_to = bound_to.select("_doc", "_from", "_to", F.regexp_replace("a.name", "\\Axmlns:?", "").alias("prefix"), F.col("a.value").alias("uri"))
+        elements = self.context.filter("node_type = 'element'").select("doc_id", "node_id")
+        seen = elements.join(bound_to, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("node_id") >= F.col("_from")) & (F.col("node_id") <= F.col("_to")))
+        inner = seen.groupBy("doc_id", "node_id", "prefix").agg(F.max_by("uri", "_from").alias("uri")).filter("uri <> '' and prefix <> 'xml'")
+        return inner.unionByName(elements.select("doc_id", "node_id", F.lit("xml").alias("prefix"), F.lit(XML_URI).alias("uri")))
+
     def parents(self, test: str | None = "*") -> Steps:
         return self._step(test, lambda c, t: F.col("t.node_id") == F.col("_parent"))
 
