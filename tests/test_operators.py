@@ -245,3 +245,32 @@ def test_conformance(spark):
     assert report["not-wf"]["passed"] >= 0.6 * (report["not-wf"]["passed"] + report["not-wf"]["failed"])
     assert report[None]["passed"] == report["valid"]["passed"] + report["not-wf"]["passed"]
     assert tree.tree(text.limit(5), "path", "text").count() > 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_are_one_pass(spark):
+    d = docs(spark, "<r>a&amp;<![CDATA[<b>]]>\r\n<x/>é<!--c-->f<y k='1'>g<z/></y></r>", "", None, "<r/>").repartition(2, "doc_id")
+    rows = {(r["node_id"], r["parent_id"], r["end_id"], r["node_type"], r["depth"], r["name"], r["value"]) for r in tree.tree(d).collect() if r["doc_id"] == 0}
+    assert rows == {
+        (0, None, 13, "element", 0, "r", None), (1, 0, 1, "text", 1, None, "a&<b>\n"), (5, 0, 5, "element", 1, "x", None), (6, 0, 6, "text", 1, None, "é"),
+        (7, 0, 7, "comment", 1, None, "c"), (8, 0, 8, "text", 1, None, "f"), (9, 0, 12, "element", 1, "y", None), (10, 9, 10, "text", 2, None, "g"), (11, 9, 11, "element", 2, "z", None),
+    }
+    made = plan(tree.tree(d))
+    assert made.count("regexp_extract_all") <= 6 and made.count("Generate explode") <= 4 and made.count("Window [") + made.count("Window\n") <= 2
+
+
+@pytest.mark.parametrize("axis", ["child", "following_sibling", "preceding", "position"])
+def test_order_axes_make_documents_once(spark, sf_dir, axis):
+    import __spark_entry__
+
+    assert "lineitem.parquet" not in plan(__spark_entry__.queries()[f"xp_17_orders_{axis}"](spark, sf_dir))
+
+
+def test_steps_beside_several_contexts(spark):
+    s = xpath.select(docs(spark, "<r><a/><b>1</b><a/><b>2</b><c><b>3</b><a/></c></r>", "<r><b>4</b><a/></r>"))
+    values = lambda steps: sorted(r["string_value"] for r in steps.values().collect())
+    assert values(s.descendants("a").following("b")) == ["1", "2", "3"] and values(s.descendants("a").preceding("b")) == ["1", "2", "3", "4"]
+    assert values(s.descendants("a").following_siblings("b")) == ["1", "2"] and values(s.descendants("a").preceding_siblings("b")) == ["1", "3", "4"]

@@ -31,8 +31,12 @@ class Steps:
             return F.lit(True)
         return F.col("node_type") == kinds[test] if test in kinds else (F.col("node_type") == "element") & (F.col("name") == test)
 
-    def _step(self, test: str | None, on: Callable[[DataFrame, DataFrame], Column]) -> Steps:
+    def _step(self, test: str | None, on: Callable[[DataFrame, DataFrame], Column], *by: str, **of: Column) -> Steps:
+        """The nodes that pass the test and have one in the context as `on` says. Where one number tells of many
+        context nodes, such as the least position among those of a parent, `by` and `of` make one row of them."""
         ctx = self.context.select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_node"), F.col("parent_id").alias("_parent"), F.col("end_id").alias("_end"))
+        if of:
+            ctx = ctx.groupBy("_doc", *by).agg(*[c.alias(k) for k, c in of.items()])
         got = self.table.filter(self._test(test)).alias("t").join(ctx, F.col("t.doc_id").eqNullSafe(F.col("_doc")) & on(ctx, self.table), "left_semi")
         return Steps(self.table, got)
 
@@ -73,16 +77,16 @@ class Steps:
         return self.ancestors(test).union(Steps(self.table, self.context.filter(self._test(test))))
 
     def following(self, test: str | None = "*") -> Steps:
-        return self._step(test, lambda c, t: F.col("t.node_id") > F.col("_end"))
+        return self._step(test, lambda c, t: F.col("t.node_id") > F.col("_end"), _end=F.min("_end"))
 
     def preceding(self, test: str | None = "*") -> Steps:
-        return self._step(test, lambda c, t: F.col("t.end_id") < F.col("_node"))
+        return self._step(test, lambda c, t: F.col("t.end_id") < F.col("_node"), _node=F.max("_node"))
 
     def following_siblings(self, test: str | None = "*") -> Steps:
-        return self._step(test, lambda c, t: (F.col("t.parent_id") == F.col("_parent")) & (F.col("t.node_id") > F.col("_node")))
+        return self._step(test, lambda c, t: (F.col("t.parent_id") == F.col("_parent")) & (F.col("t.node_id") > F.col("_node")), "_parent", _node=F.min("_node"))
 
     def preceding_siblings(self, test: str | None = "*") -> Steps:
-        return self._step(test, lambda c, t: (F.col("t.parent_id") == F.col("_parent")) & (F.col("t.node_id") < F.col("_node")))
+        return self._step(test, lambda c, t: (F.col("t.parent_id") == F.col("_parent")) & (F.col("t.node_id") < F.col("_node")), "_parent", _node=F.max("_node"))
 
     def attributes(self, name: str | None = None) -> DataFrame:
         """(doc_id, node_id, name, value) of the attributes of the nodes."""

@@ -12,6 +12,7 @@ from .functions import chars, encoding, escape, names
 from .operators import codec, conformance, dtd, events, namespaces, rpc, tree, writer
 from .plans import xpath
 from .sources import documents as sources
+from .sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -552,7 +553,9 @@ _LINES = "SELECT l_orderkey AS doc_id, l_partkey::VARCHAR AS value, row_number()
 
 def _order_axis(name: str, steps, condition: str):
     def run(spark, sf_dir):
-        return steps(xpath.select(order_docs(spark, sf_dir)).descendants("line")).children("part").values().select("doc_id", F.col("string_value").alias("value"))
+        # Steps and string values read the nodes several times.
+        nodes = written(tree.tree(order_docs(spark, sf_dir)), "order-nodes")
+        return steps(xpath.Steps(nodes).descendants("line")).children("part").values().select("doc_id", F.col("string_value").alias("value"))
 
     QUERIES[name], ORACLES[name] = run, f"WITH l AS ({_LINES}) SELECT doc_id, value FROM l WHERE {condition}"
 
