@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from xmlframe.functions.arrays import running_sums
 from xmlframe.operators import events, writer
+from xmlframe.plans import xpath
 
 # By production of the XML recommendation: document, code and detail in the full dialect. The codes are fixed values.
 WRONG = {
@@ -186,3 +187,30 @@ def test_events_are_not_shuffled(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert events.check(none).count() == 0 and events.events(none).count() == 0 and events.tag_counts(none).count() == 0
+
+
+def test_plain_documents_are_not_walked_and_are_good(spark):
+    """Documents put together at random: those that need no walk are those in which a walk finds nothing."""
+    import random
+
+    random.seed(7)
+    parts = ["<a>", "</a>", "<b x='1'>", "</b>", "<b/>", "<a x='1' y=\"2\"/>", "<a x='1' x='2'/>", "<a x='<b/>'/>", "<a x='>'>", "<a&amp;/>", "<a &lt;='1'/>", "</a >", "</a&gt;>", "t", "&amp;", "&x;", "&#65;", "]]>", ">", "\x01", "\x02", "$", " ", "\n", "'", '"', "<!--c-->", "<?p?>", "<", "&", "<a\x0bx='1'/>", "<1/>", "<a x='1'y='2'/>", "<é ü='ß'>", "</é>"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(1, 7))) for _ in range(3000)]
+    texts += [f"<a>{''.join(random.choice(parts) for _ in range(random.randint(1, 3)))}</a>" for _ in range(3000)] + ["<a>" * n + "</a>" * n for n in (1, 8, 9, 40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    walked = [events._first_error(F.col("t"), d).isNull().alias(d) for d in ("full", "simple", "dom")]
+    rows = df.select("t", events._surely_good(F.col("t")).alias("plain"), *walked).collect()
+    assert [r["t"] for r in rows if r["plain"] and not (r["full"] and r["simple"] and r["dom"])] == []
+    plain = {r["t"] for r in rows if r["plain"]}
+    assert len(plain) > 100 and "<a>" * 8 + "</a>" * 8 in plain and "<a>" * 40 + "</a>" * 40 not in plain
+
+
+def test_expressions_read_a_document_once(spark):
+    df = spark.createDataFrame([(1, "<a b='x'><c>1</c><c>2.5</c></a>"), (2, "<a"), (3, None)], "doc_id long, text string")
+    asked = {"n": ("sum(//c)", "number"), "none": ("//d", "number"), "t": ("/a/@b", "string"), "e": ("//d", "string"), "y": ("//c = 1 or false()", "boolean"), "all": ("//c/text()", "strings"), "no": ("//d | //e", "boolean")}
+    got = xpath.evaluate_all(df, asked)
+    rows = {r["doc_id"]: tuple(r)[1:] for r in got.collect()}
+    assert rows[1][:1] + rows[1][2:] == (3.5, "x", "", True, ["1", "2.5"], False) and rows[1][1] != rows[1][1]
+    assert rows[2] == rows[3] == (None,) * 7
+    made = got._jdf.queryExecution().analyzed().toString()
+    assert made.count("xpath_number(") + made.count("xpath_boolean(") + made.count("xpath_string(") == 1

@@ -133,8 +133,21 @@ def evaluate_all(docs: DataFrame, expressions: dict[str, tuple[str, str]], doc_i
     expanded. Prefixes are not bound: use Steps for namespaces."""
     checked = docs.select(F.col(doc_id).alias("_id"), F.when(F.col(text).isNotNull() & first_error(F.col(text), "simple").isNull(), F.col(text)).alias("_good"))
     # What fails the check is replaced before the functions see it.
-    values = [F.when(F.col("_good").isNotNull(), KINDS[kind](F.coalesce("_good", F.lit("<e/>")), F.lit(x))).alias(name) for name, (x, kind) in expressions.items()]
-    return checked.select(F.col("_id").alias("doc_id"), *values)
+    read = lambda kind, x: F.when(F.col("_good").isNotNull(), KINDS[kind](F.coalesce("_good", F.lit("<e/>")), F.lit(x)))
+    # Each function parses the document anew, so scalars come from one, put together; \x01 is in no document.
+    scalars = [name for name, (_, kind) in expressions.items() if kind != "strings"]
+    if len(scalars) < 2:
+        return checked.select(F.col("_id").alias("doc_id"), *[read(kind, x).alias(name) for name, (x, kind) in expressions.items()])
+    texts = [f"string({x})" if kind == "string" else f"string({kind}({x}))" for x, kind in (expressions[name] for name in scalars)]
+    checked = checked.withColumn("_all", F.split(read("string", "concat(" + ", '\x01', ".join(texts) + ")"), "\x01", -1))
+
+    def value(name: str) -> Column:
+        x, kind = expressions[name]
+        if kind == "strings":
+            return read(kind, x)
+        return F.get("_all", scalars.index(name)).cast({"string": "string", "number": "double", "boolean": "boolean"}[kind])
+
+    return checked.select(F.col("_id").alias("doc_id"), *[value(name).alias(name) for name in expressions])
 
 
 def evaluate(docs: DataFrame, expression: str, kind: str = "string", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
