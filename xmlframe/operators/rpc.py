@@ -260,10 +260,18 @@ def any_value(message: Column) -> Column:
 def enumerated(v: Column, names: list[str]) -> Column:
     """struct<tag, value> of an enumeration: an int is the place of a name, a string a name, and a struct of one
     member has the name as its member's. Null for what names none."""
-    tagged = F.variant_get(v["value"], "$", "map<string,variant>")
+    return bound(v, lambda x: _enumerated(x, names))
+
+
+def _enumerated(v: Column, names: list[str]) -> Column:
     known = F.array(*[F.lit(n) for n in names])
-    tag = F.when(v["type"] == "i4", F.get(known, as_int(v))).when(v["type"] == "string", v["text"]).when((v["type"] == "struct") & (F.size(tagged) == 1), F.get(F.map_keys(tagged), 0))
-    return bound(tag, lambda t: F.when(t.isin(*names), F.struct(t.alias("tag"), F.when(v["type"] == "struct", F.get(F.map_values(tagged), 0)).alias("value"))))
+    fields = F.when(v["type"] == "struct", F.variant_get(v["value"], "$", "map<string,variant>"))
+
+    def told(tagged: Column) -> Column:
+        tag = F.when(v["type"] == "i4", F.get(known, as_int(v))).when(v["type"] == "string", v["text"]).when(F.size(tagged) == 1, F.get(F.map_keys(tagged), 0))
+        return bound(tag, lambda t: F.when(t.isin(*names), F.struct(t.alias("tag"), F.get(F.map_values(tagged), 0).alias("value"))))
+
+    return bound(fields, told)
 
 
 def _texts(rows: Column, tag: str) -> Column:
