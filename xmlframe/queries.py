@@ -34,11 +34,15 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task, about, where work on a row costs far more than moving it.
+TASK_ROWS = 50_000
+
+
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores before work that costs far more than moving a row. Only a small table, of fewer
-    partitions than cores, is dealt: a large one is spread by its files."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt to all cores, and to tasks of about TASK_ROWS rows, before work that costs far more than moving a
+    row. A table that is spread as widely by its files is not dealt. (Counting reads the files' footers only.)"""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def counted(df: DataFrame, *by: str) -> DataFrame:
@@ -655,7 +659,7 @@ def rpc_08_responses(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name AS name, c_nationkey AS nation, c_mktsegment AS first_item, 2 AS n_items FROM customer")
 def rpc_11_struct_and_array(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("s"), F.array("c_mktsegment", F.lit("x")).alias("a"))
+    c = dealt(t(spark, sf_dir, "customer")).select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("s"), F.array("c_mktsegment", F.lit("x")).alias("a"))
     m = c.select("c_custkey", rpc.members(rpc.value(F.col("s"), c.schema["s"].dataType)).alias("m"), rpc.items(rpc.value(F.col("a"), c.schema["a"].dataType)).alias("i"))
     return m.select("c_custkey", rpc.as_string(F.col("m")["name"]).alias("name"), rpc.as_int(F.col("m")["nation"]).alias("nation"), rpc.as_string(F.get("i", 0)).alias("first_item"), F.size("i").alias("n_items"))
 
