@@ -274,3 +274,25 @@ def test_steps_beside_several_contexts(spark):
     values = lambda steps: sorted(r["string_value"] for r in steps.values().collect())
     assert values(s.descendants("a").following("b")) == ["1", "2", "3"] and values(s.descendants("a").preceding("b")) == ["1", "2", "3", "4"]
     assert values(s.descendants("a").following_siblings("b")) == ["1", "2"] and values(s.descendants("a").preceding_siblings("b")) == ["1", "3", "4"]
+
+
+def test_first_differences(spark):
+    pairs = [("", "", None), ("", "a", 0), ("abc", "abd", 2), ("abc", "ab", 2), ("a😀b", "a😀c", 2), ("é", "e", 0), ("x" * 1000, "x" * 1000 + "y", 1000), ("ab", "ab", None), (None, "a", None), ("a", None, None), ("b" + "x" * 99, "a" + "x" * 99, 0)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
+    found = df.select(chars.first_difference(F.col("a"), F.col("b")).alias("at"))
+    assert [r["at"] for r in found.collect()] == [at for _, _, at in pairs]
+    assert "regexp_extract_all" not in plan(found)
+
+
+def test_enumerations_read_a_value_once(spark):
+    d = docs(spark, "<value><int>1</int></value>", "<value>a</value>", "<value><struct><member><name>b</name><value><i4>5</i4></value></member></struct></value>", "<value><int>7</int></value>", "<value>c</value>", None)
+    found = d.select("doc_id", rpc.enumerated(rpc.scalar(F.col("text")), ["a", "b"]).alias("e"))
+    assert [r["e"] and (r["e"]["tag"], r["e"]["value"] and r["e"]["value"].toPython()) for r in found.orderBy("doc_id").collect()] == [("b", None), ("a", None), ("b", 5), None, None, None]
+    assert plan(found).count("try_parse_json") + plan(found).count("parseJson") <= 2
+
+
+def test_small_tables_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    from xmlframe import queries
+
+    monkeypatch.setattr(queries, "TASK_ROWS", 100)
+    assert queries.dealt(spark.range(0, 2001, 1, 2)).rdd.getNumPartitions() == 21 and queries.dealt(spark.range(0, 50, 1, 8)).rdd.getNumPartitions() == 8
