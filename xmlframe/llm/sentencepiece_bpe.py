@@ -220,14 +220,17 @@ def decode_ids(encoded: DataFrame, model: str, ids: str = "ids", out: str = "dec
     return encoded.mapInArrow(work, f"{schema}, `{out}` string")
 
 
-def encode_digests(docs: DataFrame, model: str) -> DataFrame:
+def encode_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, in one map step without a
-    shuffle; the ids never leave the worker. Null text counts as empty: the end id alone."""
+    shuffle; the ids never leave the worker. Null text counts as empty: the end id alone. Columns of docs named in
+    `keep` stand behind these."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = [table(model).digest(t or "") for t in strings(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))), *part.columns[2:]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("text")).mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", F.col("text").alias("text"), *keep).mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")
