@@ -43,8 +43,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece coding (operator 3): the digests of the ids of each row, and of their decoding."""
-    return encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """SentencePiece coding (operator 3): the digests of the ids of each row, and of their decoding, with the language
+    that the first stage found."""
+    return encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("lang",))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -40,3 +40,12 @@ def test_stages_take_an_empty_table(spark, none):
 def test_documents_stay_if_no_language_can_be_learned(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "...", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in corpus_pipeline.language(spark, docs, "").collect()] == [(1, "some words", "und")]
+
+
+def test_the_result_tells_the_language_that_was_found(spark, tmp_path):
+    """Every row has a language that the first stage found: other labels or texts would give others."""
+    own = {"en": "the river and the old house near the wood", "de": "der Fluss und das alte Haus bei dem Wald"}
+    rows = [(k, f"{own[lang]} {k} {k * 7}", lang if k % 4 else None, "a", 0) for k, lang in enumerate(["en", "de"] * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "lang").distinct().collect()
+    assert found and all(r["lang"] == ("en", "de")[r["doc_id"] % 2] for r in found)
