@@ -589,3 +589,15 @@ def test_vectors_of_repeated_ids(spark):
 
 def test_no_vectors(spark):
     assert rows(metric_join.embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))) == []
+
+
+def test_texts_without_repeats_are_not_sorted(spark):
+    from xmlframe.llm import line_dedup
+
+    texts = ["a\nb\n\n\nc", "a\na", " \n \nb", "", "\n", "x", "a\n\na\n"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "id long, text string")
+    drops = spark.createDataFrame([(5, 0)], "id long, h long")
+    got = {r["id"]: r["text"] for r in line_dedup._drop_lines(rows, drops, few=True).collect()}
+    assert got == {0: "a\nb\n\n\nc", 1: "a", 2: " \n \nb", 3: "", 4: "\n", 5: "x", 6: "a\n\n", 7: None}
+    stays = rows.select("id", line_dedup._stays(line_dedup._lines()).alias("s")).collect()
+    assert {r["id"] for r in stays if r["s"]} == {0, 3, 4, 5, 7}

@@ -52,13 +52,19 @@ def _without(lines: Column, drops: Column) -> Column:
     return bound(ordered, kept)
 
 
+def _stays(lines: Column) -> Column:
+    """Whether no line that is not empty comes twice: without drops, `_without` then takes nothing away."""
+    some = F.array_remove(lines, "")
+    return F.size(F.array_distinct(some)) == F.size(some)
+
+
 def _drop_lines(docs: DataFrame, drops: DataFrame, few: bool) -> DataFrame:
     """docs (row columns, id, text) without the lines that drops (id, h) name and without repeats."""
     listed = drops.groupBy("id").agg(F.collect_set("h").alias("_drops"))
     none = F.array().cast("array<bigint>")
     joined = docs.join(F.broadcast(listed) if few else listed, "id", "left")
-    kept = _without(_lines(), F.coalesce("_drops", none))
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(kept, "\n"))).drop("_drops")
+    kept = F.array_join(_without(_lines(), F.coalesce("_drops", none)), "\n")
+    return joined.withColumn("text", F.when(_stays(_lines()) & F.col("_drops").isNull(), F.col("text")).when(F.col("text").isNotNull(), kept)).drop("_drops")
 
 
 def _exact_drops(docs: DataFrame) -> DataFrame:
