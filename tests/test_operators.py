@@ -296,3 +296,8 @@ def test_small_tables_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
 
     monkeypatch.setattr(queries, "TASK_ROWS", 100)
     assert queries.dealt(spark.range(0, 2001, 1, 2)).rdd.getNumPartitions() == 21 and queries.dealt(spark.range(0, 50, 1, 8)).rdd.getNumPartitions() == 8
+
+
+def test_nodes_of_events_are_those_of_documents(spark):
+    d = docs(spark, "<r>a&amp;<![CDATA[<b>]]><x/>é<!--c-->f<y k='1'>g<z/></y><?p d?></r>", "<?xml version='1.0'?>\n<r><a><a/></a><a/></r>\n")
+    assert sorted(map(str, tree.nodes(events.events(d)).collect())) == sorted(map(str, tree.tree(d).collect()))
