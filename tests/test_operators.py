@@ -1,6 +1,8 @@
 """Escapers, namespaces, trees, paths, records, messages, encodings, writers, sources and streams."""
 
 import os
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -151,6 +153,39 @@ def test_strict_records(spark):
     assert got == {0: ("A", "x"), 1: ("B", None), 2: ("A", "1"), 3: None, 4: None, 5: ("B", ""), 6: None}
 
 
+def test_plain_messages_are_not_walked(spark):
+    """Replacing tags gives what the walk over tokens gives, or nothing where it could differ."""
+    rng = random.Random(5)
+    texts = ["5", "-0", "007", "1.50", "1", " ", "", "a", "}", "{", ",", "null", "]", ":", '"', "\\", "\n", "&lt;b&amp;lt;", "&#65;", "a &quot;", "\r", "\x01", "é", "YQ=="]
+    kinds = ["i4", "int", "i8", "string", "boolean", "double", "base64", "dateTime.iso8601"]
+    tags = [f"<{e}{n}>" for e in ("", "/") for n in ("value", "struct", "array", "data", "member", "name", "param", "params", *kinds)] + ["<nil/>", "<data/>", "</value>}</member></struct></value>"]
+
+    def value(depth):
+        k, x = rng.choice(kinds), rng.choice(texts)
+        if depth and rng.random() < 0.5:
+            inner = [value(depth - 1) for _ in range(rng.randrange(4))]
+            return f"<value><array><data>{''.join(inner)}</data></array></value>" if rng.random() < 0.5 else "<value><struct>" + "".join(f"<member><name>{rng.choice(texts)}{i}</name>{v}</member>" for i, v in enumerate(inner)) + "</struct></value>"
+        return rng.choice([f"<value><{k}>{x}</{k}></value>", f"<value>{x}</value>", "<value><i4>12</i4></value>", "<value><string>x</string></value>", "<value><nil/></value>"])
+
+    def message(spoilt):
+        body = "".join(f"<param>{value(3)}</param>" for _ in range(rng.randrange(4)))
+        for _ in range(spoilt):
+            cut = [0, *[m.end() for m in re.finditer(">", body)]]
+            a, b = rng.choice(cut), rng.choice(cut)
+            body = rng.choice([body[:a] + rng.choice(texts + tags) + body[a:], body[: min(a, b)] + body[max(a, b) :] if abs(a - b) < 60 else body])
+        return f"<?xml version='1.0'?><methodCall><methodName>{rng.choice(['f', ' f.g ', '', 'a&amp;b'])}</methodName><params>{body}</params></methodCall>"
+
+    rows = docs(spark, *[message(k % 3) for k in range(6000)]).repartition(4)
+    told = lambda d: F.to_json(F.struct(d["method"].alias("m"), d["error"].alias("e"), F.transform(d["params"], lambda p: F.struct(p["type"].alias("t"), p["text"].alias("x"), F.to_json(p["value"]).alias("v"))).alias("p")))
+    found = rows.select("text", told(rpc.decode_call(F.col("text"))).alias("a"), told(rpc._walked_call(F.col("text"))).alias("b"), rpc._plain(F.col("text"), "<methodCall><methodName>([^<>&\r]*)</methodName>", "</methodCall>")[1].isNotNull().alias("plain")).collect()
+    apart = [f"{r['text'][21:]} {r['a']} {r['b']}" for r in found if r["a"] != r["b"]]
+    assert not apart, apart[0]
+    assert sum(r["plain"] for r in found) > 600
+    values = "".join(f"<param>{x}</param>" for x in ["<value><i4>1</i4></value>", '<value><array><data><value><struct><member><name>a"</name><value><boolean>1</boolean></value></member><member><name>b</name><value><double>0.5</double></value></member></struct></value><value>&lt;</value></data></array></value>'])
+    (plain,) = one(spark, F.transform(rpc._plain_params(F.lit(values)), lambda p: F.concat_ws(" ", p["type"], p["text"], F.to_json(p["value"]))))
+    assert plain == ["i4 1 1", 'array [{"a\\"":true,"b":0.5},"<"]']
+
+
 def test_nested_messages(spark):
     member = lambda name, value: f"<member><name>{name}</name><value>{value}</value></member>"
     calls = [

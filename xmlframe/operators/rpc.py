@@ -3,10 +3,16 @@ Calls over HTTP are no query and are left to the caller.
 
 A value is struct<type, text, value>: text is that of a scalar, value a variant of any value, nested ones
 included. Tokens become pieces of JSON one by one - a tag is a bracket, a comma is told by what stands before -
-so values of any depth are read without recursion; what does not make JSON in the end is an error."""
+so values of any depth are read without recursion; what does not make JSON in the end is an error.
+
+Calls and responses as programs write them - tags without attributes, no white space between them, no comments, CDATA
+or numbered references - are spared the walk over tokens: replacing their tags makes JSON of the whole list of params.
+What does not come out whole is walked."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -287,9 +293,67 @@ def _unread(params: Column) -> Column:
     return F.exists(params, lambda p: F.coalesce(p["value"].isNull(), F.lit(True)))
 
 
+#: What stands for `<value>`, `</value>`, `<data>`, `</data>` and `</struct>` while tags are replaced: no text may have them.
+_OPEN, _CLOSE, _FIRST, _LAST, _ENDED = "\x01", "\x02", "\x03", "\x04", "\x05"
+_UNPLAIN = r"[\x00-\x08\x0b-\x1f]|&(?!(?:lt|gt|amp|apos|quot);)"
+_WHOLE, _REAL = r"-?[1-9][0-9]{0,17}|0", r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?"
+_TYPED = r"<param>(?=<value><(int|i[1248]|string|boolean|double|dateTime\.iso8601|base64)>([^<]*)</\1></value></param>)"
+_BARE = r"<param>(?=<value>([^<]*)</value></param>)"
+_NUMBERS = rf"<value><(?:(int|i[1248])>({_WHOLE})</\1>|double>({_REAL})</double>)</value>"
+_STRINGS = r"<value>(?:<string>([^<]*)</string>|([^<]*))</value>"
+_PAIRS = r"<value><(dateTime\.iso8601|base64)>([^<]*)</\1></value>"
+#: Each takes tags only where they stand side by side, so text or tags at other places stay, and show.
+_WORDS = [("<value><boolean>1</boolean></value>", f"{_OPEN}true{_CLOSE}"), ("<value><boolean>0</boolean></value>", f"{_OPEN}false{_CLOSE}"), ("<value><nil/></value>", f"{_OPEN}null{_CLOSE}")]
+_CONTAINERS = [
+    ("<value><array><data>", _OPEN + _FIRST), ("</data></array></value>", _LAST + _CLOSE), ("<value><struct></struct></value>", f"{_OPEN}{{}}{_CLOSE}"),
+    ("<value><struct><member><name>", _OPEN + '{"'), ("</member></struct></value>", _ENDED + _CLOSE), (_FIRST + _OPEN, "["), (_FIRST + _LAST, "[]"),
+    (_CLOSE + "</member><member><name>", ',"'), (f"</name>{_OPEN}", '":'), (_CLOSE + _OPEN, ","), (_CLOSE + _LAST, "]"), (_CLOSE + _ENDED, "}"),
+]
+_ENDS = [('"value":' + _OPEN, '"value":'), (_CLOSE + "</param>{", "},{")]
+_CONTROLS = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")]
+_RESOLVED = [("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&quot;", '\\"'), ("&amp;", "&")]
+
+
+def _plain_params(markup: Column) -> Column:
+    """`_params` of what stands within `<params>`, if replacing tags makes JSON of it; else null."""
+    fixed = lambda c, pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    where = lambda c, has, use: bound(c, lambda x: F.when(x.rlike(has), use(x)).otherwise(x))
+    untyped = lambda x: fixed(F.regexp_replace(x, _BARE, '{"type":"string","text":"$1","value":'), [(f"<param><value><{k}>", f'{{"type":"{k}","value":<value><{k}>') for k in ("struct", "array")])
+
+    text = where(markup, r'[\\"\n\t]', lambda x: fixed(x, _CONTROLS))
+    text = where(F.regexp_replace(text, _TYPED, '{"type":"$1","text":"$2","value":'), "<param>", untyped)
+    text = where(text, '[{]"type":"int"', lambda x: fixed(x, [('{"type":"int"', '{"type":"i4"')]))
+    text = F.regexp_replace(F.regexp_replace(text, _NUMBERS, f"{_OPEN}$2$3{_CLOSE}"), _STRINGS, f'{_OPEN}"$1$2"{_CLOSE}')
+    text = where(F.regexp_replace(text, _PAIRS, f'{_OPEN}{{"$1":"$2"}}{_CLOSE}'), "<boolean>|<nil/>", lambda x: fixed(x, _WORDS))
+    text = fixed(where(text, "<data>|<struct>", lambda x: fixed(x, _CONTAINERS)), _ENDS)
+    text = F.regexp_replace(text, rf"{_CLOSE}</param>\z", "}")
+
+    def read(made: Column) -> Column:
+        json = F.when(~made.rlike(f"[<{_OPEN}-{_ENDED}]"), F.concat(F.lit("["), where(made, "&", lambda x: fixed(x, _RESOLVED)), F.lit("]")))
+        return F.try_variant_get(F.try_parse_json(json), "$", f"array<{VALUE}>")
+
+    found = bound(F.when((markup != "") & ~markup.rlike(_UNPLAIN), text), read)
+    # A nil among the params is null here, and is walked.
+    return bound(found, lambda p: F.when(~F.coalesce(F.exists(p, lambda v: v["type"].isNull() | v["value"].isNull()), F.lit(True)), p))
+
+
+def _plain(message: Column, before: str, after: str) -> tuple[Column, Column]:
+    """What stands between the regular expressions (its first group of `before`), and the plain params of a message."""
+    shape = rf"\A(?:<\?[^<>?]*\?>)?{before}<params>(<param>.+</param>)</params>{after}\z"
+    return F.regexp_extract(message, f"(?s){shape}", 1), bound(F.regexp_extract(message, f"(?s){shape}", 2), _plain_params)
+
+
 def decode_call(message: Column) -> Column:
     """struct<method, params, error> of a methodCall, params being values of any depth."""
+    return bound(message, _decode_call)
+
+
+def _decode_call(message: Column) -> Column:
+    name, plain = _plain(message, "<methodCall><methodName>([^<>&\\r]*)</methodName>", "</methodCall>")
+    return bound(plain, lambda p: F.when(p.isNotNull(), F.struct(F.trim(name).alias("method"), p.alias("params"), F.lit(None).cast("string").alias("error"))).otherwise(_walked_call(message)))
+
 
+def _walked_call(message: Column) -> Column:
     def decoded(rows: Column) -> Column:
         def told(x: Column) -> Column:
             error = (
