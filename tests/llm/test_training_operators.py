@@ -601,3 +601,14 @@ def test_texts_without_repeats_are_not_sorted(spark):
     assert got == {0: "a\nb\n\n\nc", 1: "a", 2: " \n \nb", 3: "", 4: "\n", 5: "x", 6: "a\n\n", 7: None}
     stays = rows.select("id", line_dedup._stays(line_dedup._lines()).alias("s")).collect()
     assert {r["id"] for r in stays if r["s"]} == {0, 3, 4, 5, 7}
+
+
+def test_near_line_keys_are_rows_and_letter_counts_do_not_wrap(spark):
+    line, near = "e" * 20 + "x" * 30, "e" * 20 + "x" * 29 + "y"
+    lines = spark.createDataFrame([(line, 50), (near, 50)], "line string, n int").withColumn("p", F.col("line"))
+    index, probe = [line_dedup._keyed(lines, places) for places in line_dedup._places()]
+    assert index.count() == 2 * 3 and probe.count() == 2 * 12 and index.columns == ["p", "key"]
+    assert index.alias("a").join(probe.alias("b"), "key").filter("a.p <> b.p").count() > 0
+    counts = lambda text: line_dedup.letter_counts(F.lit(text))
+    told = spark.range(1).select(line_dedup.counts_allow(counts(line), counts(near)), line_dedup.counts_allow(counts(line), counts("e" * 4 + "x" * 30))).first()
+    assert tuple(told) == (True, False)

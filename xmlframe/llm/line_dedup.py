@@ -76,24 +76,27 @@ def _exact_drops(docs: DataFrame) -> DataFrame:
     return seen.join(materialize(first, "line-repeats"), ["h", "g"]).filter("id > first").select("id", "h")
 
 
-def segment(length: Column, i: int) -> tuple[Column, Column]:
+def segment(length: Column, i: int | Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of EDITS + 1 of a line; the last ones take the remainder."""
+    i = F.lit(i) if isinstance(i, int) else i
     base, more = F.floor(length / (EDITS + 1)).cast("int"), length % (EDITS + 1)
     short = EDITS + 1 - more  # so many segments have the length `base`
-    return (1 + i * base + F.greatest(F.lit(0), F.lit(i) - short)).cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+    return (1 + i * base + F.greatest(F.lit(0), i - short)).cast("int"), (base + F.when(i >= short, 1).otherwise(0)).cast("int")
 
 
-def _keys(line: Column, n: Column) -> tuple[Column, Column]:
-    """Keys under which a line is indexed, and those with which it probes."""
-    key = lambda length, i, at, size: F.xxhash64(length, F.lit(i), F.substring(line, at, size))
-    index = [key(n, i, *segment(n, i)) for i in range(EDITS + 1)]
-    probe = []
-    for less in range(EDITS + 1):
-        for i in range(EDITS + 1):
-            start, size = segment(n - less, i)
-            for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
-                probe.append(key(n - less, i, start + shift, size))
-    return F.array(*index), F.array(*probe)
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
+    """lines (line, n, and others) with a row for each place (less, i, shift): segment i of lines that are `less`
+    shorter, moved by `shift`, as `key`. One key a row: code that makes all keys at once is too long to be compiled."""
+    each = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in places])
+    start, size = segment(F.col("n") - F.col("_at.less"), F.col("_at.i"))
+    key = F.xxhash64(F.col("n") - F.col("_at.less"), F.col("_at.i"), F.substring("line", start + F.col("_at.shift"), size))
+    return lines.withColumn("_at", F.explode(each)).withColumn("key", key).drop("line", "n", "_at")
+
+
+def _places() -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Under which segments a line is indexed, and those with which it probes."""
+    probe = [(less, i, shift) for less in range(EDITS + 1) for i in range(EDITS + 1) for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1)]
+    return [(0, i, 0) for i in range(EDITS + 1)], probe
 
 
 def characters(line: Column) -> Column:
@@ -101,15 +104,15 @@ def characters(line: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """The counts of sixteen common letters, modulo 16, in the half bytes of a long."""
+    """The counts of eight common letters, modulo 256, in the bytes of a long."""
     count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(15)), 4 * k) for k, c in enumerate("eainortsdhlucmgw")])
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate("eainorts")])
 
 
 def counts_allow(a: Column, b: Column) -> Column:
     """Whether letter counts are near enough: an edit changes their sum of differences by two at most."""
-    gap = [F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15))) for k in range(16)]
-    return reduce(lambda x, y: x + y, [F.least(g, 16 - g) for g in gap]) <= 2 * EDITS
+    gap = [F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255))) for k in range(8)]
+    return reduce(lambda x, y: x + y, [F.least(g, 256 - g) for g in gap]) <= 2 * EDITS
 
 
 def within(a: Column, b: Column) -> Column:
@@ -148,10 +151,10 @@ def _near_drops(docs: DataFrame) -> DataFrame:
     lines) must be exactly deduplicated and written."""
     each = F.explode(F.arrays_zip(_lines().alias("line"), F.col("counts").alias("c"))).alias("x")
     lines = docs.select("id", each).select("id", "x.line", "x.c").withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
-    index, probe = _keys(F.col("line"), F.col("n"))
+    index, probe = _places()
     h = F.xxhash64("line").alias("h")
-    left = lines.select(h, "c", F.explode(index).alias("key"))
-    right = lines.select(h.alias("p"), F.col("c").alias("d"), F.explode(probe).alias("key"))
+    left = _keyed(lines.select(h, "c", "line", "n"), index)
+    right = _keyed(lines.select(h.alias("p"), F.col("c").alias("d"), "line", "n"), probe)
     # The letters decide within the join: lines of a family that share segments but not words do not pair.
     met = left.hint("shuffle_hash").join(right, (left["key"] == right["key"]) & (F.col("h") != F.col("p")) & counts_allow(F.col("c"), F.col("d")))
     pairs = materialize(met.select("h", "p").distinct(), "line-pairs")
