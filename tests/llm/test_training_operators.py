@@ -612,3 +612,31 @@ def test_near_line_keys_are_rows_and_letter_counts_do_not_wrap(spark):
     counts = lambda text: line_dedup.letter_counts(F.lit(text))
     told = spark.range(1).select(line_dedup.counts_allow(counts(line), counts(near)), line_dedup.counts_allow(counts(line), counts("e" * 4 + "x" * 30))).first()
     assert tuple(told) == (True, False)
+
+
+def test_families_of_lines_are_told_apart_and_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    head, tail = word(30), word(30)
+    found = {f"{head}{word(40)}" for _ in range(60)} | {f"{word(20)} {head}{tail} {word(20)}" for _ in range(20)}  # share segments
+    found |= {head[:k] + a + head[k:] + tail for k in (3, 29) for a in "klmno"} | {f"{head}{a}{tail}{b}" for a in "kl" for b in "mno"}
+    for x in rng.sample(sorted(found), 40):  # and some are near each other, at any place
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(x))
+            x = x[:k] + rng.choice(["", "p", "qq"]) + x[k + rng.randint(0, 1) :]
+        found.add(x)
+    lines = sorted(found)
+    rng.shuffle(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert Counter((r[0], r[1], r[3]) for r in rows(line_dedup.line_digests(docs))) == brute_lines(rows(docs))
+
+
+def test_pairs_of_a_family_grow_with_its_lines(spark):
+    def made(n):
+        rng, head = random.Random(5), "one segment that a whole family of lines has"
+        lines = [(k, k, head + "".join(rng.choice("abcdefghij") for _ in range(80))) for k in range(n)]
+        return line_dedup._crowded_pairs(spark.createDataFrame(lines, "id long, h long, line string")).count()
+
+    few, many = made(100), made(400)
+    assert many <= 4 * few + 40, (few, many)

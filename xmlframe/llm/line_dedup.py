@@ -8,8 +8,13 @@ one later in code point order.
 Near lines are found by a segment-partition join. A line is cut into EDITS + 1 even segments. Two lines
 within EDITS edits have a segment of the one whole in the other, at a place that the lengths and the
 segment's number confine to a few; so the longer line is probed with its substrings at those places for
-each length that the other may have. What meets is verified by a banded bit-parallel automaton: bit k of
-R_d says that the two prefixes whose lengths differ by k - EDITS are within d edits.
+each length that the other may have. A segment under which one line stands gives a pair. Lines that meet
+under a segment of several are read again: what is left of a line beside the segment is itself cut into
+segments, one more than the edits that may be there, and so on while more than CROWD lines share all that is
+looked at; so families that share segments are told apart, not paired. Lines that still meet when next
+to nothing is left are near, and each is paired with the earliest only. Pairs that Spark's bounded
+`levenshtein` does not rule out are verified by a banded bit-parallel automaton: bit k of R_d says that the two prefixes whose lengths differ by k - EDITS are within d
+edits.
 
 Lines travel as hashes wherever possible; whole texts are shuffled once. Groups of equal lines are
 aggregated before they are joined, and the join back is one that Spark can split where a line is hot.
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import bound, discard, free, materialize
 
 EDITS, LEAST = 2, 32
+#: Lines that share a key and are paired with all that meet them there; where there are more, the key gets longer.
+CROWD = 32
 #: Hashes of near lines, or drops, up to which a table is broadcast instead of the texts' being shuffled.
 FEW = 400_000
 LAST_ID = (1 << 63) - 1
@@ -76,11 +83,11 @@ def _exact_drops(docs: DataFrame) -> DataFrame:
     return seen.join(materialize(first, "line-repeats"), ["h", "g"]).filter("id > first").select("id", "h")
 
 
-def segment(length: Column, i: int | Column) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of EDITS + 1 of a line; the last ones take the remainder."""
+def segment(length: Column, i: int | Column, edits: int | Column = EDITS) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment i of edits + 1 of a line; the last ones take the remainder."""
     i = F.lit(i) if isinstance(i, int) else i
-    base, more = F.floor(length / (EDITS + 1)).cast("int"), length % (EDITS + 1)
-    short = EDITS + 1 - more  # so many segments have the length `base`
+    base, more = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
+    short = edits + 1 - more  # so many segments have the length `base`
     return (1 + i * base + F.greatest(F.lit(0), i - short)).cast("int"), (base + F.when(i >= short, 1).otherwise(0)).cast("int")
 
 
@@ -146,29 +153,108 @@ def within(a: Column, b: Column) -> Column:
     return F.coalesce(last.bitwiseAND(wanted) != 0, F.lit(False))
 
 
+def _opened(lines: DataFrame) -> DataFrame:
+    """lines (id, h, line) as rows (and key, own, sure, parts) that `_refined` cuts: parts are what the key does not tell
+    of a line, each with its place, the length n that it has in the lines that are indexed, by how much it is longer
+    here (d), and the edits that may be in it (e). The rows under which a line is indexed are its `own`."""
+    n, less = F.char_length("line"), F.col("_less")
+    part = F.struct(F.lit(1).alias("at"), (n - less).alias("n"), less.alias("d"), F.lit(EDITS).alias("e"))
+    rows = lines.withColumn("_less", F.explode(F.sequence(F.lit(0), F.lit(EDITS))))
+    return rows.select("id", "h", "line", F.xxhash64(n - less).alias("key"), (less == 0).alias("own"), F.lit(True).alias("sure"), F.array(part).alias("parts"))
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    """rows for each segment of their first part that may be whole, which joins the key; what is left of the part on
+    either side goes behind the others. A part of no more characters than edits is done; where it is no longer
+    here either, all lines that are indexed under the key are near in it, else the row is not `sure`."""
+    moves = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j in range(EDITS + 1) for s in range(-j, j + 1)])
+    rows = rows.withColumn("_p", F.get("parts", F.lit(0))).withColumn("_m", F.explode(moves))
+    at, n, d, e, j, s = (F.col(c) for c in ("_p.at", "_p.n", "_p.d", "_p.e", "_m.j", "_m.s"))
+    rows = rows.filter((j <= e) & (s >= d - (e - j)) & (s <= d + (e - j)))
+    start, size = segment(n, j, e)
+    before, behind = start - 1, n - (start - 1) - size
+    rows = rows.filter((before + s >= 0) & (behind + d - s >= 0))
+    part = lambda *x: F.struct(*[c.cast("int").alias(k) for k, c in zip(("at", "n", "d", "e"), x, strict=True)])
+    left = F.array(part(at, before, s, j), part(at + before + s + size, behind, d - s, e - j))
+    return rows.select(
+        "id", "h", "line",
+        F.xxhash64("key", j, F.substring("line", at + before + s, size)).alias("key"),
+        (F.col("own") & (s == 0)).alias("own"),
+        (F.col("sure") & F.forall(left, lambda x: (x["n"] > x["e"]) | (x["n"] + x["d"] <= x["e"]))).alias("sure"),
+        F.concat(F.slice("parts", F.lit(2), F.size("parts")), F.filter(left, lambda x: x["n"] > x["e"])).alias("parts"),
+    )
+
+
+def _pair(a: str | Column, b: str | Column) -> list[Column]:
+    return [F.least(a, b).alias("h"), F.greatest(a, b).alias("p")]
+
+
+def _order(i: str, line: str) -> Column:
+    return F.struct(F.col(i).alias("id"), F.char_length(line).alias("n"), F.col(line).alias("line"))
+
+
+def _all_pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
+    met = rows.filter("own").select("key", F.col("h").alias("a")).join(others.select("key", F.col("h").alias("b")), "key").filter("a <> b")
+    return met.select(*_pair("a", "b"))
+
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of rows of which nothing is left to cut: a row is near all lines indexed under its key, or not sure. The
+    earliest line that is near tells of each whether an earlier one is."""
+    first = F.min(F.struct(_order("id", "line").alias("o"), F.col("h")))["h"]
+    firsts = rows.filter("sure").groupBy("key").agg(first.alias("any"), F.min(F.when(F.col("own"), F.struct(_order("id", "line").alias("o"), F.col("h"))))["h"].alias("indexed"))
+    near = rows.filter("sure").join(firsts, "key").select(*_pair("h", F.when(F.col("own"), F.col("any")).otherwise(F.col("indexed")))).filter("h <> p")
+    return near.unionAll(_all_pairs(rows, rows.filter("not sure")))
+
+
+def _crowded_pairs(lines: DataFrame) -> DataFrame:
+    """(h, p), written: pairs of lines (id, h, line; distinct) of which those that are near are the ones that
+    meet, or join both to the earliest."""
+    rows, pairs = materialize(_refined(_opened(lines)), "line-rows"), []
+    while True:
+        counts = rows.filter("own").groupBy("key").agg(F.count("*").alias("lines"))
+        crowd = materialize(counts.filter(F.col("lines") > CROWD).select("key"), "line-crowds")
+        some = crowd.limit(FEW + 1).count()
+        listed = F.broadcast(crowd) if some <= FEW else crowd
+        calm = rows.join(listed, "key", "left_anti") if some else rows
+        met = _all_pairs(calm, calm)
+        if not some:
+            pairs.append(materialize(met, "line-pairs"))
+            out = materialize(reduce(DataFrame.unionAll, pairs).distinct(), "line-pairs")
+            discard(rows, crowd, *pairs)
+            return out
+        busy = rows.join(listed, "key")
+        pairs.append(materialize(met.unionAll(_first_pairs(busy.filter(F.size("parts") == 0))), "line-pairs"))
+        after = materialize(_refined(busy.filter(F.size("parts") > 0)), "line-rows")
+        discard(rows, crowd)
+        rows = after
+
+
 def _near_drops(docs: DataFrame) -> DataFrame:
-    """(id, h), written: lines that are near an earlier one. docs (id, text, and counts, the letter counts of the
-    lines) must be exactly deduplicated and written."""
-    each = F.explode(F.arrays_zip(_lines().alias("line"), F.col("counts").alias("c"))).alias("x")
-    lines = docs.select("id", each).select("id", "x.line", "x.c").withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
+    """(id, h), written: lines that are near an earlier one. docs (id, text) must be exactly deduplicated and written."""
+    lines = docs.select("id", F.explode(_lines()).alias("line")).withColumn("n", F.char_length("line")).filter(F.col("n") >= LEAST)
     index, probe = _places()
     h = F.xxhash64("line").alias("h")
-    left = _keyed(lines.select(h, "c", "line", "n"), index)
-    right = _keyed(lines.select(h.alias("p"), F.col("c").alias("d"), "line", "n"), probe)
-    # The letters decide within the join: lines of a family that share segments but not words do not pair.
-    met = left.hint("shuffle_hash").join(right, (left["key"] == right["key"]) & (F.col("h") != F.col("p")) & counts_allow(F.col("c"), F.col("d")))
-    pairs = materialize(met.select("h", "p").distinct(), "line-pairs")
-    met = materialize(pairs.select("h").unionAll(pairs.select("p")).distinct(), "line-met")
-    few = met.limit(FEW + 1).count() <= FEW
-    texts = materialize(lines.select("id", "line", h).join(F.broadcast(met) if few else met, "h"), "line-texts")
+    left = _keyed(lines.select(h, "line", "n"), index).groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("last"))
+    right = _keyed(lines.select(h.alias("p"), "line", "n"), probe)
+    # A row of the index is one key, however many lines share it, so what meets is no more than the probes.
+    met = left.hint("shuffle_hash").join(right, (left["key"] == right["key"]) & ((F.col("h") != F.col("last")) | (F.col("h") != F.col("p"))))
+    met = materialize(met.select("h", "p", (F.col("h") != F.col("last")).alias("several")), "line-met")
+    single, several = met.filter("not several"), met.filter("several").select(F.col("p").alias("h"))
+    known = materialize(several.unionAll(single.select("h")).unionAll(single.select("p")).distinct(), "line-known")
+    few = known.limit(FEW + 1).count() <= FEW
+    texts = materialize(lines.select("id", "line", h).join(F.broadcast(known) if few else known, "h").distinct(), "line-texts")
+    crowded = _crowded_pairs(texts.join(several.distinct(), "h", "left_semi").groupBy("h", "line").agg(F.min("id").alias("id")))
+    pairs = single.select(*_pair("h", "p")).unionAll(crowded).distinct()
     a = texts.select("h", F.col("id").alias("ia"), F.col("line").alias("la"))
     b = texts.select(F.col("h").alias("p"), F.col("id").alias("ib"), F.col("line").alias("lb"))
     both = pairs.join(a, "h").join(b, "p").filter("la <> lb")
+    # Most pairs share segments and no more: Spark's bounded distance rules them out for less than the automaton.
+    both = both.filter(F.levenshtein("la", "lb", EDITS) >= 0)
     near = both.filter(bound(F.struct(characters(F.col("la")).alias("a"), characters(F.col("lb")).alias("b")), lambda z: within(z["a"], z["b"])))
-    order = lambda i, line: F.struct(F.col(i), F.char_length(line), F.col(line))
-    drops = near.select(F.when(order("ia", "la") < order("ib", "lb"), F.struct(F.col("ib").alias("id"), F.col("p").alias("h"))).otherwise(F.struct(F.col("ia").alias("id"), F.col("h").alias("h"))).alias("x")).select("x.id", "x.h").distinct()
+    drops = near.select(F.when(_order("ia", "la") < _order("ib", "lb"), F.struct(F.col("ib").alias("id"), F.col("p").alias("h"))).otherwise(F.struct(F.col("ia").alias("id"), F.col("h").alias("h"))).alias("x")).select("x.id", "x.h").distinct()
     drops = materialize(drops, "line-near")
-    discard(pairs, met, texts)
+    discard(met, known, texts, crowded)
     return drops
 
 
@@ -182,9 +268,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     # Tells an empty text of which one blank line is left from one of which nothing is.
     rows = rows.withColumn("_has_blank", F.col("text").rlike(r"(?:^|\n)[ \t\r\x0b\x0c]*(?:\n|\z)"))
     once = _drop_lines(rows, _exact_drops(rows.select("id", "text")), few=False)
-    once = materialize(once.withColumn("_counts", F.transform(_lines(), letter_counts)), "line-exact")
-    near = _near_drops(once.select("id", "text", F.col("_counts").alias("counts")))
-    out = _drop_lines(once.drop("_counts"), near, few=near.limit(FEW + 1).count() <= FEW)
+    once = materialize(once, "line-exact")
+    near = _near_drops(once.select("id", "text"))
+    out = _drop_lines(once, near, few=near.limit(FEW + 1).count() <= FEW)
     kept = F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.size(_lines())).otherwise(F.when(F.col("text").isNull(), 0).otherwise(F.col("_has_blank").cast("int")))
     named = [F.col("text").alias(c) if c == text else F.col(own[c]).alias(c) for c in docs.columns if c == text or c in own]
     return out.select(*named, F.col("_n_lines").alias(before), kept.alias(after))
