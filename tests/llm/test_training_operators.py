@@ -1,6 +1,7 @@
 """The operators against brute force, the libraries and the rows' own arithmetic."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -640,3 +641,23 @@ def test_pairs_of_a_family_grow_with_its_lines(spark):
 
     few, many = made(100), made(400)
     assert many <= 4 * few + 40, (few, many)
+
+
+def test_lines_that_share_a_segment_and_are_not_near_do_not_leave_the_join(spark):
+    rng, head = random.Random(6), "a passage that thirty lines have, and then each goes on as it likes: "
+    lines = [(k, k, head + "".join(rng.choice("abcdefghij") for _ in range(60))) for k in range(30)]
+    lines += [(30, 30, lines[4][2] + "k"), (31, 31, "k" + lines[4][2]), (32, 32, lines[9][2].replace("thirty", "forty"))]
+    assert set(rows(line_dedup._crowded_pairs(spark.createDataFrame(lines, "id long, h long, line string")))) == {(4, 30), (4, 31), (30, 31)}
+
+
+def test_lines_that_differ_in_next_to_nothing_are_paired_with_the_earliest(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    rng = random.Random(8)
+    head, tail = ["".join(rng.choice("efghijk") for _ in range(n)) for n in (23, 17)]
+    parts = ["".join(x) for n in range(5) for x in itertools.product("abc"[: 3 if n < 4 else 2], repeat=n)]
+    lines = [head[:9] + y + head[9:] + x + tail for x in parts for y in ("", "a", "bc")[: 3 if len(x) < 3 else 1]]
+    rng.shuffle(lines)
+    made = line_dedup._crowded_pairs(spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "id long, h long, line string"))
+    got = {max(h, p) for h, p in rows(made) if edits(lines[h], lines[p]) <= 2}
+    assert got == {k for k, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in lines[:k])}
+    assert made.count() <= 40 * len(lines), (made.count(), len(lines))

@@ -11,10 +11,11 @@ segment's number confine to a few; so the longer line is probed with its substri
 each length that the other may have. A segment under which one line stands gives a pair. Lines that meet
 under a segment of several are read again: what is left of a line beside the segment is itself cut into
 segments, one more than the edits that may be there, and so on while more than CROWD lines share all that is
-looked at; so families that share segments are told apart, not paired. Lines that still meet when next
-to nothing is left are near, and each is paired with the earliest only. Pairs that Spark's bounded
-`levenshtein` does not rule out are verified by a banded bit-parallel automaton: bit k of R_d says that the two prefixes whose lengths differ by k - EDITS are within d
-edits.
+looked at; so families that share segments are told apart, not paired. Of a part with no more characters than
+edits, the key takes in those that have to be the same; lines that still meet then are near, and each is paired
+with the earliest only. The lines travel with these keys, and Spark's bounded `levenshtein` is a condition of the
+join: only pairs that it does not rule out come out. They are verified by a banded bit-parallel automaton: bit k of
+R_d says that the two prefixes whose lengths differ by k - EDITS are within d edits.
 
 Lines travel as hashes wherever possible; whole texts are shuffled once. Groups of equal lines are
 aggregated before they are joined, and the join back is one that Spark can split where a line is hot.
@@ -23,6 +24,7 @@ aggregated before they are joined, and the join back is one that Spark can split
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import bound, discard, free, materialize
 
 EDITS, LEAST = 2, 32
-#: Lines that share a key and are paired with all that meet them there; where there are more, the key gets longer.
-CROWD = 32
+#: Lines that share a key and are compared with all that meet them there; where there are more, the key gets longer.
+CROWD = 128
 #: Hashes of near lines, or drops, up to which a table is broadcast instead of the texts' being shuffled.
 FEW = 400_000
 LAST_ID = (1 << 63) - 1
@@ -154,19 +156,37 @@ def within(a: Column, b: Column) -> Column:
 
 
 def _opened(lines: DataFrame) -> DataFrame:
-    """lines (id, h, line) as rows (and key, own, sure, parts) that `_refined` cuts: parts are what the key does not tell
+    """lines (id, h, line) as rows (and key, own, parts) that `_refined` cuts: parts are what the key does not tell
     of a line, each with its place, the length n that it has in the lines that are indexed, by how much it is longer
     here (d), and the edits that may be in it (e). The rows under which a line is indexed are its `own`."""
     n, less = F.char_length("line"), F.col("_less")
     part = F.struct(F.lit(1).alias("at"), (n - less).alias("n"), less.alias("d"), F.lit(EDITS).alias("e"))
     rows = lines.withColumn("_less", F.explode(F.sequence(F.lit(0), F.lit(EDITS))))
-    return rows.select("id", "h", "line", F.xxhash64(n - less).alias("key"), (less == 0).alias("own"), F.lit(True).alias("sure"), F.array(part).alias("parts"))
+    return rows.select("id", "h", "line", F.xxhash64(n - less).alias("key"), (less == 0).alias("own"), F.array(part).alias("parts"))
+
+
+def _spellings(own: Column, line: Column, part: Column) -> Column:
+    """What the keys take in of a part of no more characters than edits, each with its place. With d characters more here, n + d - e
+    have to be the same, moved by up to d, each no less than the one before; the lines that are indexed have all choices."""
+    n, d, e = part["n"], part["d"], part["e"]
+
+    def choices(size: int, more: int, same: int) -> list[Column]:
+        text = lambda at, moves: F.concat(F.lit(""), *[x for i, k in zip(at, moves, strict=True) for x in (F.lit(str(i)), F.substring(line, part["at"] + (i + k), 1))])
+        return [text(at, moves) for at in combinations(range(size), same) for moves in combinations_with_replacement(range(more + 1), same)]
+
+    out = F.when(n > e, F.array(F.lit("")))
+    for size in range(1, EDITS + 1):
+        out = out.when(own & (n == size), F.array(*[x for same in range(size + 1) for x in choices(size, 0, same)]))
+        for more in range(1, EDITS + 1):
+            for same in range(1, size + 1):
+                out = out.when((n == size) & (d == more) & (e == size + more - same), F.array_distinct(F.array(*choices(size, more, same))))
+    return out.otherwise(F.array(F.lit("")))
 
 
 def _refined(rows: DataFrame) -> DataFrame:
     """rows for each segment of their first part that may be whole, which joins the key; what is left of the part on
-    either side goes behind the others. A part of no more characters than edits is done; where it is no longer
-    here either, all lines that are indexed under the key are near in it, else the row is not `sure`."""
+    either side goes behind the others. A part of no more characters than edits is done with its `_spellings`: all
+    lines that are indexed under the key are near in it."""
     moves = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j in range(EDITS + 1) for s in range(-j, j + 1)])
     rows = rows.withColumn("_p", F.get("parts", F.lit(0))).withColumn("_m", F.explode(moves))
     at, n, d, e, j, s = (F.col(c) for c in ("_p.at", "_p.n", "_p.d", "_p.e", "_m.j", "_m.s"))
@@ -176,13 +196,17 @@ def _refined(rows: DataFrame) -> DataFrame:
     rows = rows.filter((before + s >= 0) & (behind + d - s >= 0))
     part = lambda *x: F.struct(*[c.cast("int").alias(k) for k, c in zip(("at", "n", "d", "e"), x, strict=True)])
     left = F.array(part(at, before, s, j), part(at + before + s + size, behind, d - s, e - j))
-    return rows.select(
+    rows = rows.select(
         "id", "h", "line",
         F.xxhash64("key", j, F.substring("line", at + before + s, size)).alias("key"),
         (F.col("own") & (s == 0)).alias("own"),
-        (F.col("sure") & F.forall(left, lambda x: (x["n"] > x["e"]) | (x["n"] + x["d"] <= x["e"]))).alias("sure"),
         F.concat(F.slice("parts", F.lit(2), F.size("parts")), F.filter(left, lambda x: x["n"] > x["e"])).alias("parts"),
+        left.alias("_left"),
     )
+    for k in range(2):
+        rows = rows.withColumn("_said", F.explode(_spellings(F.col("own"), F.col("line"), F.get("_left", F.lit(k)))))
+        rows = rows.withColumn("key", F.when(F.col("_said") == "", F.col("key")).otherwise(F.xxhash64("key", F.lit(k), "_said")))
+    return rows.drop("_left", "_said")
 
 
 def _pair(a: str | Column, b: str | Column) -> list[Column]:
@@ -193,18 +217,22 @@ def _order(i: str, line: str) -> Column:
     return F.struct(F.col(i).alias("id"), F.char_length(line).alias("n"), F.col(line).alias("line"))
 
 
-def _all_pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
-    met = rows.filter("own").select("key", F.col("h").alias("a")).join(others.select("key", F.col("h").alias("b")), "key").filter("a <> b")
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs of rows under a key that are not ruled out. Only these come out of the join, which compares each row with
+    the lines that are indexed there, CROWD at most."""
+    a = rows.filter("own").select("key", F.col("h").alias("a"), F.col("line").alias("la"))
+    b = rows.select("key", F.col("h").alias("b"), F.col("line").alias("lb"))
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & (F.levenshtein("la", "lb", EDITS) >= 0))
     return met.select(*_pair("a", "b"))
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows of which nothing is left to cut: a row is near all lines indexed under its key, or not sure. The
-    earliest line that is near tells of each whether an earlier one is."""
-    first = F.min(F.struct(_order("id", "line").alias("o"), F.col("h")))["h"]
-    firsts = rows.filter("sure").groupBy("key").agg(first.alias("any"), F.min(F.when(F.col("own"), F.struct(_order("id", "line").alias("o"), F.col("h"))))["h"].alias("indexed"))
-    near = rows.filter("sure").join(firsts, "key").select(*_pair("h", F.when(F.col("own"), F.col("any")).otherwise(F.col("indexed")))).filter("h <> p")
-    return near.unionAll(_all_pairs(rows, rows.filter("not sure")))
+    """Pairs of rows of which nothing is left to cut: a row is near all lines indexed under its key. The earliest line
+    that is near tells of each whether an earlier one is."""
+    first = lambda x: F.min(x)["h"]
+    told = F.struct(_order("id", "line").alias("o"), F.col("h"))
+    firsts = rows.groupBy("key").agg(first(told).alias("any"), first(F.when(F.col("own"), told)).alias("indexed"))
+    return rows.join(firsts, "key").select(*_pair("h", F.when(F.col("own"), F.col("any")).otherwise(F.col("indexed")))).filter("h <> p")
 
 
 def _crowded_pairs(lines: DataFrame) -> DataFrame:
@@ -217,7 +245,7 @@ def _crowded_pairs(lines: DataFrame) -> DataFrame:
         some = crowd.limit(FEW + 1).count()
         listed = F.broadcast(crowd) if some <= FEW else crowd
         calm = rows.join(listed, "key", "left_anti") if some else rows
-        met = _all_pairs(calm, calm)
+        met = _met(calm)
         if not some:
             pairs.append(materialize(met, "line-pairs"))
             out = materialize(reduce(DataFrame.unionAll, pairs).distinct(), "line-pairs")
