@@ -661,3 +661,10 @@ def test_lines_that_differ_in_next_to_nothing_are_paired_with_the_earliest(spark
     got = {max(h, p) for h, p in rows(made) if edits(lines[h], lines[p]) <= 2}
     assert got == {k for k, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in lines[:k])}
     assert made.count() <= 40 * len(lines), (made.count(), len(lines))
+
+
+def test_what_a_worker_keeps_of_chunks_is_small():
+    table = PrefixTable(public_tokenizers.path("piece_bpe_32k.model"))
+    for k in range(0, 260_000, 500):
+        table.digest(" ".join(f"w{i}" for i in range(k, k + 500)))
+    assert len(table.known) + len(table.older) <= 202_000

@@ -25,7 +25,7 @@ from .common import slices, strings
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Chunks and pairs that a worker remembers.
-CHUNKS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 400_000, 500_000, 64
+CHUNKS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 100_000, 500_000, 64
 
 
 def chunks(text: str) -> list[str]:
